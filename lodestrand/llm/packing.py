@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.session import partitions, stage
+from lodestrand.session import stage
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_PATTERNS = 60_000
 ROUNDS = 400
+BUCKET_ITEMS, MOST_BUCKETS = 100_000, 512
 # Fixed value: the split pattern that belongs to the byte-level vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -202,14 +203,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Only the histogram of at most ``capacity`` lengths reaches the driver, and only the plan's segments, whose number
     depends on the lengths and not on the documents, are broadcast. Items of one length are numbered within hash buckets
-    and by the buckets' sums, so a length that a third of all documents have isn't brought into one task.
+    and by the buckets' sums, so a length that a third of all documents have isn't brought into one task: a length has a
+    bucket for each BUCKET_ITEMS of its items, MOST_BUCKETS at most, which bounds the sums.
     """
     spark = items.sparkSession
-    buckets = min(512, 8 * partitions(spark))
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int"))
+    hist = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    buckets = spark.createDataFrame([(s, min(MOST_BUCKETS, -(-n // BUCKET_ITEMS))) for s, n in hist.items()], "size int, buckets int")
+    items = items.join(F.broadcast(buckets), "size").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("buckets")).cast("int")).drop("buckets")
     sums = items.groupBy("size", "bucket").agg(F.count("*").alias("n"))
-    sums = stage(sums, "length-counts")
-    hist = {r["size"]: r["n"] for r in sums.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     segments = spark.createDataFrame(_segments(plan_windows(hist, capacity)), "size int, lo long, hi long, base long, window_start int")
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
