@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,14 +34,22 @@ def tokens(c: Column) -> Column:
     return F.filter(runs(c), lambda t: ~F.array_contains(lit_list(vocab.STOP_WORDS), t))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once for the row however often ``body`` uses it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
+    """Size of the intersection of two arrays as multisets: what they share, each as often as the rarer has it."""
 
     def count(xs: Column, x: Column) -> Column:
         return F.size(F.filter(xs, lambda y: y == x))
 
-    each = F.transform(F.array_distinct(a), lambda x: F.least(count(a, x), count(b, x)))
-    return F.aggregate(each, F.lit(0), lambda s, n: s + n)
+    def shared(a: Column, b: Column) -> Column:
+        each = F.transform(F.array_intersect(a, b), lambda x: F.least(count(a, x), count(b, x)))
+        return F.aggregate(each, F.lit(0), lambda s, n: s + n)
+
+    return let(a, lambda x: let(b, lambda y: shared(x, y)))
 
 
 def injections(c: Column) -> Column:
@@ -65,13 +74,16 @@ def safe_lines(c: Column) -> Column:
 
 def relevance(q: Column, d: Column, risk_of: Column | None = None) -> Column:
     """Lexical relevance of tokens ``d`` to tokens ``q``, from 0 to 1; a suspicious text loses up to half."""
-    shared = overlap(q, d)
-    phrase = F.array_join(F.slice(q, 1, 3), " ")
-    bonus = F.when(F.array_join(d, " ").contains(phrase), 0.15).otherwise(0.0)
-    raw = F.least(F.lit(1.0), shared / F.size(q) * 0.85 + shared / F.least(F.size(d), F.lit(200)) * 0.15 + bonus)
-    if risk_of is not None:
-        raw = raw * (F.lit(1.0) - risk_of * 0.5)
-    return F.when((F.size(q) > 0) & (F.size(d) > 0), raw).otherwise(0.0)
+
+    def score(q: Column, d: Column) -> Column:
+        phrase = F.array_join(F.slice(q, 1, 3), " ")
+        bonus = F.when(F.array_join(d, " ").contains(phrase), 0.15).otherwise(0.0)
+        raw = let(overlap(q, d), lambda n: F.least(F.lit(1.0), n / F.size(q) * 0.85 + n / F.least(F.size(d), F.lit(200)) * 0.15 + bonus))
+        if risk_of is not None:
+            raw = raw * (F.lit(1.0) - risk_of * 0.5)
+        return F.when((F.size(q) > 0) & (F.size(d) > 0), raw).otherwise(0.0)
+
+    return let(q, lambda x: let(d, lambda y: score(x, y)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -87,13 +99,12 @@ def normalize_answer(c: Column) -> Column:
 def token_f1(p: Column, r: Column) -> Column:
     """F1 of the words of two normalized answers, as multisets; two empty ones agree."""
     pw, rw = (F.filter(F.split(x, " "), lambda w: w != "") for x in (p, r))
-    same = overlap(pw, rw)
-    f1 = F.lit(2.0) * (same / F.size(pw)) * (same / F.size(rw)) / (same / F.size(pw) + same / F.size(rw))
-    return (
-        F.when((F.size(pw) == 0) & (F.size(rw) == 0), 1.0)
-        .when((F.size(pw) == 0) | (F.size(rw) == 0) | (same == 0), 0.0)
-        .otherwise(f1)
-    )
+
+    def score(a: Column, b: Column, same: Column) -> Column:
+        f1 = F.lit(2.0) * (same / a) * (same / b) / (same / a + same / b)
+        return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0) | (same == 0), 0.0).otherwise(f1)
+
+    return let(pw, lambda x: let(rw, lambda y: let(overlap(x, y), lambda n: score(F.size(x), F.size(y), n))))
 
 
 def short_answer(c: Column) -> Column:
@@ -117,8 +128,12 @@ def truncate(c: Column, limit: int | Column, marker: str = vocab.TRUNCATED) -> C
 def label(c: Column, most: int = 160) -> Column:
     """Untrusted metadata as a single-line label: no control characters, delimiters replaced, suspicious ones redacted."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0A-\x1F]", ""), r"(?U)\s+", " "))
-    safe = F.substring(F.translate(plain, "[]{}|<>", "()()/()"), 1, most)
-    return F.when(suspicious(plain), "redacted-untrusted-metadata").otherwise(F.when(safe == "", "unknown-source").otherwise(safe))
+
+    def shown(p: Column) -> Column:
+        safe = F.substring(F.translate(p, "[]{}|<>", "()()/()"), 1, most)
+        return F.when(p == "", "unknown-source").when(suspicious(p), "redacted-untrusted-metadata").otherwise(safe)
+
+    return let(plain, shown)
 
 
 def first_truthy(*cs: Column) -> Column:
@@ -175,10 +190,13 @@ def fact_markers(c: Column) -> Column:
 
 def evidence_sentences(c: Column) -> Column:
     """Sentences of the safe lines: broken after . ! ? before a capital or digit, three characters at least."""
-    safe = safe_lines(c)
-    parts = F.flatten(F.transform(F.split(safe, "\n+"), lambda b: F.split(strip(b), r"(?<=[.!?])\s+(?=[A-Z0-9])")))
-    kept = F.filter(F.transform(parts, strip), lambda p: F.length(p) >= 3)
-    return F.when(safe == "", F.array().cast("array<string>")).when(F.size(kept) > 0, kept).otherwise(F.array(safe))
+
+    def cut(safe: Column) -> Column:
+        parts = F.flatten(F.transform(F.split(safe, "\n+"), lambda b: F.split(strip(b), r"(?<=[.!?])\s+(?=[A-Z0-9])")))
+        kept = F.filter(F.transform(parts, strip), lambda p: F.length(p) >= 3)
+        return F.when(safe == "", F.array().cast("array<string>")).otherwise(let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(safe))))
+
+    return let(safe_lines(c), cut)
 
 
 def sentences(c: Column) -> Column:

@@ -32,7 +32,7 @@ def nonzero(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit length in double precision; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    return T.let(norm, lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,17 +41,14 @@ def dot(a: Column, b: Column) -> Column:
 
 def hash_embedding(docs: DataFrame, keys: list[str], text: str = "content", dims: int = vocab.HASH_DIMS) -> DataFrame:
     """(keys..., vec): every run of the text adds 1 or -1, by the fifth byte of its SHA-256, to the element its first
-    four bytes name; then unit length. A digest is computed once for each distinct run of a document, in the JVM."""
-    words = docs.select(*keys, F.explode_outer(T.runs(F.col(text))).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("n"))
-    digest = F.sha2("w", 256)
-    slot = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    parts = words.select(*keys, slot.alias("slot"), (sign * F.col("n")).alias("x"))
-    sums = parts.groupBy(*keys, "slot").agg(F.sum("x").alias("x"))
-    held = F.map_from_entries(F.filter(F.collect_list(F.struct("slot", "x")), lambda e: e["slot"].isNotNull()))
-    rows = sums.groupBy(*keys).agg(held.alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return rows.select(*keys, l2_normalize(vec).alias("vec"))
+    four bytes name; then unit length. One aggregation of ``dims`` sums, added up before the only shuffle."""
+    words = docs.select(*keys, F.explode_outer(T.runs(F.col(text))).alias("w")).select(*keys, F.sha2("w", 256).alias("h"))
+    slot = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.conv(F.substring("h", 10, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    parts = words.select(*keys, slot.alias("slot"), sign.alias("x"))
+    sums = parts.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("x"))), F.lit(0.0)).alias(f"_{i}") for i in range(dims)])
+    rows = sums.select(*keys, F.array(*[F.col(f"_{i}") for i in range(dims)]).alias("vec"))
+    return rows.select(*keys, l2_normalize(F.col("vec")).alias("vec"))
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, query_keys: list[str], doc_key: str, vec: str = "vec", exclude_self: bool = False) -> DataFrame:

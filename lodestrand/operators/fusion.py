@@ -48,19 +48,23 @@ def diverse(pool: DataFrame, keys: list[str], k: Column | int, weight: float = v
     base = F.transform("pool", lambda c: c["relevance"] * weight + F.lit(0.10) / c["rank"])
     start = F.struct(F.array().cast("array<int>").alias("picked"), F.transform("pool", lambda c: F.lit(0.0)).alias("worst"))
 
-    def step(state: Column, _: Column) -> Column:
+    def step(state: Column, base: Column) -> Column:
         gain = F.transform(
             F.sequence(F.lit(1), F.size("pool")),
             lambda i: F.when(F.array_contains(state["picked"], i), F.lit(None).cast("double")).otherwise(
-                F.round(F.element_at("base", i) - F.element_at(state["worst"], i) * (1 - weight), 12)
+                F.round(F.element_at(base, i) - F.element_at(state["worst"], i) * (1 - weight), 12)
             ),
         )
-        best = F.array_position(gain, F.array_max(gain)).cast("int")
-        chosen = F.element_at("pool", best)["toks"]
-        worst = F.zip_with(state["worst"], F.col("pool"), lambda w, c: F.greatest(w, T.jaccard(c["toks"], chosen)))
-        return F.struct(F.concat(state["picked"], F.array(best)).alias("picked"), worst.alias("worst"))
+        best = T.let(gain, lambda g: F.array_position(g, F.array_max(g)).cast("int"))
+
+        def take(b: Column) -> Column:
+            worst = T.let(F.element_at("pool", b)["toks"], lambda t: F.zip_with(state["worst"], F.col("pool"), lambda w, c: F.greatest(w, T.jaccard(c["toks"], t))))
+            return F.struct(F.concat(state["picked"], F.array(b)).alias("picked"), worst.alias("worst"))
+
+        return T.let(best, take)
 
     rounds = F.sequence(F.lit(1), F.least(F.col("_k"), F.size("pool")))
-    picked = gathered.where(F.col("_k") > 0).withColumn("base", base).withColumn("picked", F.aggregate(rounds, start, step, lambda s: s["picked"]))
+    chosen = T.let(base, lambda b: F.aggregate(rounds, start, lambda s, _: step(s, b), lambda s: s["picked"]))
+    picked = gathered.where(F.col("_k") > 0).withColumn("picked", chosen)
     out = picked.select(*keys, "pool", F.posexplode("picked").alias("n", "i")).withColumn("c", F.element_at("pool", F.col("i")))
     return out.select(*keys, (F.col("n") + 1).alias("pick_no"), *[F.col("c")[c].alias(c) for c in extra])

@@ -17,18 +17,23 @@ def extractive_answer(rows: DataFrame, keys: list[str]) -> DataFrame:
     parts = T.sentences(context)
     headed = F.filter(parts, lambda s: ~s.rlike(r"^\[(?:Evidence|doc=|source=)"))
     usable = F.when(F.size(headed) > 0, headed).otherwise(parts)
-    keyed = F.transform(usable, lambda s, i: F.struct((-F.size(F.array_intersect("_q", F.array_distinct(T.runs(s))))).alias("hits"), F.length(s).alias("n"), i.alias("i"), s.alias("s")))
-    best = F.array_min(keyed)["s"]
+    def keyed(q: Column) -> Column:
+        return F.transform(usable, lambda s, i: F.struct((-F.size(F.array_intersect(q, T.runs(s)))).alias("hits"), F.length(s).alias("n"), i.alias("i"), s.alias("s")))
+
+    best = F.array_min(T.let(long_runs, keyed))["s"]
     none = (context == "") | context.contains(vocab.NO_CONTEXT)
     answer = F.when(none, F.lit(vocab.EVIDENCE_ABSTENTION)).otherwise(F.coalesce(F.substring(best, 1, 300), F.lit(vocab.EVIDENCE_ABSTENTION)))
-    return rows.withColumn("_q", long_runs).select(*keys, answer.alias("answer"))
+    return rows.select(*keys, answer.alias("answer"))
 
 
 def support(answer: Column, contexts: Column, least_recall: float = 0.60) -> Column:
     """The report on an answer against an array of contexts: status, is_supported, support_score, token_recall,
     markers, unsupported and the numbers of the supporting contexts (five at most)."""
-    a = T.strip(F.coalesce(answer, F.lit("")))
-    toks = T.tokens(a)
+    given = T.strip(F.coalesce(answer, F.lit("")))
+    return T.let(given, lambda a: T.let(T.tokens(a), lambda toks: _report(a, toks, contexts, least_recall)))
+
+
+def _report(a: Column, toks: Column, contexts: Column, least_recall: float) -> Column:
     docs = F.filter(F.coalesce(contexts, F.array().cast("array<string>")), lambda c: c.isNotNull() & c.rlike(r"(?U)\S"))
     joined = F.array_join(docs, "\n")
     recall = T.overlap(toks, T.tokens(joined)) / F.greatest(F.size(toks), F.lit(1))
@@ -40,10 +45,6 @@ def support(answer: Column, contexts: Column, least_recall: float = 0.60) -> Col
         scores = F.transform(T.sentences(doc), lambda s: T.relevance(toks, T.tokens(s), T.risk(s)))
         return F.when(whole, 1.0).otherwise(F.coalesce(F.array_max(scores), F.lit(0.0)))
 
-    best = F.transform(docs, best_of)
-    supporting = F.filter(F.transform(best, lambda b, i: F.when(b >= 0.35, i + 1)), lambda i: i.isNotNull())
-    score = F.greatest(recall, F.coalesce(F.array_max(best), F.lit(0.0)))
-    good = (F.size(supporting) > 0) & (recall >= least_recall) & (F.size(unsupported) == 0)
     empty = F.array().cast("array<string>")
 
     def report(status: Column, ok: Column, points: Column, rec: Column, mark: Column, bad: Column, sup: Column) -> Column:
@@ -52,11 +53,17 @@ def support(answer: Column, contexts: Column, least_recall: float = 0.60) -> Col
     def plain(status: str, ok: bool, points: float) -> Column:
         return report(F.lit(status), F.lit(ok), F.lit(points), F.lit(None).cast("double"), empty, empty, F.array().cast("array<int>"))
 
+    def checked(best: Column, rec: Column, bad: Column) -> Column:
+        supporting = F.filter(F.transform(best, lambda b, i: F.when(b >= 0.35, i + 1)), lambda i: i.isNotNull())
+        score = F.greatest(rec, F.coalesce(F.array_max(best), F.lit(0.0)))
+        good = (F.size(supporting) > 0) & (rec >= least_recall) & (F.size(bad) == 0)
+        return report(F.when(good, "supported").otherwise("weak_or_unsupported"), good, score, rec, markers, bad, F.slice(supporting, 1, 5))
+
     return (
         F.when(T.is_evidence_abstention(a), plain("abstained", True, 1.0))
         .when(F.size(toks) == 0, plain("empty_answer", False, 0.0))
         .when(F.size(docs) == 0, plain("no_context", False, 0.0))
-        .otherwise(report(F.when(good, "supported").otherwise("weak_or_unsupported"), good, score, recall, markers, unsupported, F.slice(supporting, 1, 5)))
+        .otherwise(T.let(F.transform(docs, best_of), lambda best: T.let(recall, lambda r: T.let(unsupported, lambda bad: checked(best, r, bad)))))
     )
 
 

@@ -136,9 +136,14 @@ def answered(queries: DataFrame, documents: DataFrame, quality: DataFrame, gener
     return rows.select("query_id", "query", F.col("final.answer").alias("answer"), F.col("final.status").alias("grounding"), F.when(held, 1.0).otherwise(F.col("report.support_score")).alias("support_score"), F.length("context").alias("context_chars"), F.coalesce("selected", F.lit(0)).alias("selected"), F.col("quality"))
 
 
-def baseline_answer(queries: DataFrame, index: retrieval.Index) -> DataFrame:
+def baseline(queries: DataFrame, index: retrieval.Index) -> tuple[DataFrame, DataFrame]:
+    """(documents, answers) of every question."""
     docs = stage(baseline_retrieve(queries, index), "baseline")
-    return answered(queries, docs, retrieval.quality(queries, docs))
+    return docs, answered(queries, docs, retrieval.quality(queries, docs))
+
+
+def baseline_answer(queries: DataFrame, index: retrieval.Index) -> DataFrame:
+    return baseline(queries, index)[1]
 
 
 def adaptive_answer(queries: DataFrame, index: retrieval.Index) -> DataFrame:

@@ -11,7 +11,10 @@ from lodestrand.functions import vocab as V
 
 def policy(query: Column) -> Column:
     """What a static corpus can't answer: blocked, reason, is_dynamic, is_high_stakes, is_source_bound, categories."""
-    q = T.squeeze(F.lower(F.coalesce(query, F.lit(""))))
+    return T.let(T.squeeze(F.lower(F.coalesce(query, F.lit("")))), _policy)
+
+
+def _policy(q: Column) -> Column:
     source = q.rlike(V.POLICY_SOURCE)
     temporal = T.has_word(q, V.POLICY_TEMPORAL) | (T.has_word(q, ["live"]) & T.has_word(q, V.POLICY_LIVE))
     market = T.has_word(q, V.MARKET_ASSETS) & T.has_word(q, V.MARKET_METRICS)

@@ -95,9 +95,7 @@ def hit_rate_text(spark: SparkSession, d: str) -> DataFrame:
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     questions = asked(spark, d)
-    units = index(spark, d, V.CHILD_CHUNK)
-    docs = stage(pipelines.baseline_retrieve(questions.select("query_id", "query"), units), "baseline-docs")
-    answers = pipelines.baseline_answer(questions.select("query_id", "query"), units)
+    docs, answers = pipelines.baseline(questions.select("query_id", "query"), index(spark, d, V.CHILD_CHUNK))
     return evaluation.rows(questions, answers, evaluation.retrieval_scores(_gold(spark, d), docs))
 
 

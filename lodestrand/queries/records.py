@@ -57,8 +57,8 @@ def release_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {P.CORPUS}, rows AS (SELECT pos, sha256(content || chr(0) || doc_id) AS h FROM corpus), "
-    "up AS (SELECT pos // 4096 AS at, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM rows GROUP BY 1) "
-    "SELECT CASE WHEN (SELECT max(pos) FROM rows) < 4096 THEN (SELECT sha256(string_agg(h, '' ORDER BY pos)) FROM rows) ELSE (SELECT sha256(string_agg(h, '' ORDER BY at)) FROM up) END AS fingerprint"
+    "up AS (SELECT pos // 4096 AS no, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM rows GROUP BY 1) "
+    "SELECT CASE WHEN (SELECT max(pos) FROM rows) < 4096 THEN (SELECT sha256(string_agg(h, '' ORDER BY pos)) FROM rows) ELSE (SELECT sha256(string_agg(h, '' ORDER BY no)) FROM up) END AS fingerprint"
 )
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return D.fingerprint(corpus(spark, d))
@@ -159,11 +159,11 @@ def cache_hits_misses(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunk_sql(size: int, overlap: int) -> str:
     def last(sep: str) -> str:
-        return f"CASE WHEN contains(w, {sep}) THEN s + {size // 2} + length(w) - length(split_part(reverse(w), reverse({sep}), 1)) END"
+        return f"nullif(length(regexp_extract(w, '(?s)^(.*{sep})', 1)), 0) + s + {size // 2}"
 
-    ends = ", ".join(last(x) for x in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"))
+    ends = ", ".join(last(x) for x in ("\\n\\n", "\\n", "\\. ", " "))
     return f"""WITH RECURSIVE {P.CORPUS}, cut AS (
-      SELECT pos, content, 0 AS no, 0 AS s, CASE WHEN length(content) <= {size} THEN length(content) ELSE coalesce({ends.replace('w', "substr(content, 1 + " + str(size // 2) + ", " + str(size - size // 2) + ")").replace(' s +', ' 0 +')}, {size}) END AS e FROM corpus
+      SELECT pos, content, 0 AS no, 0 AS s, CASE WHEN length(content) <= {size} THEN length(content) ELSE coalesce({ends.replace('w', "substr(content, 1 + " + str(size // 2) + ", " + str(size - size // 2) + ")").replace('+ s +', '+ 0 +')}, {size}) END AS e FROM corpus
       UNION ALL
       SELECT pos, content, no + 1, s, CASE WHEN length(content) - s <= {size} THEN length(content) ELSE coalesce({ends}, s + {size}) END FROM (
         SELECT pos, content, no, greatest(e - {overlap}, s + 1) AS s, substr(content, greatest(e - {overlap}, s + 1) + 1 + {size // 2}, {size - size // 2}) AS w FROM cut WHERE e < length(content)))

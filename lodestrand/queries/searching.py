@@ -75,7 +75,7 @@ def lexical_relevance(spark: SparkSession, d: str) -> DataFrame:
     return _related(spark, d, _sparse(spark, d, K)).select("query_id", "pos", F.round("relevance", 6).alias("relevance"))
 
 
-_RERANK = f"re AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round((1 - 0.35::DOUBLE) * (1 - (rank - 1) / count(*) OVER (PARTITION BY query_id)) + 0.35::DOUBLE * relevance, 9) DESC, rank) AS rank FROM rel)"
+_RERANK = f"re AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round((1 - 0.35::DOUBLE) * (1 - (rank - 1) / n) + 0.35::DOUBLE * relevance, 9) DESC, rank) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM rel))"
 
 
 @query(f"WITH {_ITEMS}, {P.CORPUS}, {_DENSE}, pool AS (SELECT * FROM dense WHERE rank <= {2 * K}), {_REL}, {_RERANK} SELECT query_id, pos, rank FROM re")

@@ -41,15 +41,15 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return vecs.select("pos", F.posexplode("vec").alias("slot", "x")).where("x <> 0").select("pos", "slot", F.round("x", 6).alias("x"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6))::VARCHAR AS unit FROM embeddings")
+@query("SELECT vec_id, i::INT AS place, round(x, 6) AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS x FROM embeddings)")
 def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
-    unit = F.transform(dense.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6))
-    return table(spark, d, "embeddings").select("vec_id", unit.cast("string").alias("unit"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(dense.l2_normalize(F.col("embedding"))).alias("place", "x"))
+    return rows.select("vec_id", "place", F.round("x", 6).alias("x"))
 
 
 @query(
     "WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id, n.vec_id AS other, list_cosine_similarity(q.v, n.v) AS c FROM u q JOIN u n ON q.vec_id <> n.vec_id WHERE q.vec_id % 50 = 0) "
-    "SELECT vec_id, other, round(c, 6) AS cosine, row_number() OVER w AS rank FROM p QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY vec_id ORDER BY round(c, 9) DESC, other)"
+    "SELECT vec_id, other, round(c, 6) AS cosine, row_number() OVER w AS rank FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY round(c, 9) DESC, other) QUALIFY row_number() OVER w <= 5"
 )
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 50, against all."""

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import vocab
@@ -14,9 +14,14 @@ from lodestrand.functions import vocab
 WINDOW_S = 60
 
 
+def _micros() -> Column:
+    """Microseconds of ``ts``, which may be without time zone."""
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def sliding_counts(events: DataFrame, key: str = "user_id", seconds: int = WINDOW_S) -> DataFrame:
     """Each event with the number of events of its key in the ``seconds`` up to it, itself included."""
-    at = F.unix_micros("ts")
+    at = _micros()
     frame = Window.partitionBy(key).orderBy("at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return events.withColumn("at", at).withColumn("recent", F.count("*").over(frame)).drop("at")
 
@@ -24,7 +29,7 @@ def sliding_counts(events: DataFrame, key: str = "user_id", seconds: int = WINDO
 def min_interval(events: DataFrame, seconds: float, key: str = "user_id") -> DataFrame:
     """Each event with the seconds since its key's last one, and whether that is enough."""
     order = Window.partitionBy(key).orderBy("ts", "event_id")
-    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)) / 1e6
+    gap = (_micros() - F.lag(_micros()).over(order)) / 1e6
     return events.withColumn("gap", gap).withColumn("spaced", F.coalesce(F.col("gap") >= seconds, F.lit(True)))
 
 
@@ -54,7 +59,7 @@ def rate_limited(events: DataFrame, limit: int = vocab.REQUESTS_PER_MINUTE, seco
                 out += _admit(iter(part["at"]), limit, seconds, kept)
             yield f.drop(columns="at").assign(admitted=out)
 
-    rows = events.select("event_id", key, "ts", (F.unix_micros("ts") / 1e6).alias("at"))
+    rows = events.select("event_id", key, "ts", (_micros() / 1e6).alias("at"))
     placed = rows.repartition(key).sortWithinPartitions(key, "at", "event_id")
     kind = dict(events.dtypes)
     return placed.mapInPandas(run, f"event_id {kind['event_id']}, {key} {kind[key]}, ts {kind['ts']}, admitted boolean")
@@ -82,7 +87,7 @@ def circuit_breaker(events: DataFrame, failures: int = vocab.BREAKER_FAILURES, s
                 states.append("closed")
             yield f.drop(columns=["at", "bad"]).assign(state=states)
 
-    rows = events.where(F.col(key).isNotNull()).select("event_id", key, "ts", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("event_type") == "error").alias("bad"))
+    rows = events.where(F.col(key).isNotNull()).select("event_id", key, "ts", (_micros() / 1e6).alias("at"), (F.col("event_type") == "error").alias("bad"))
     placed = rows.repartition(key).sortWithinPartitions(key, "at", "event_id")
     kind = dict(events.dtypes)
     return placed.mapInPandas(run, f"event_id {kind['event_id']}, {key} {kind[key]}, ts {kind['ts']}, state string")
@@ -104,5 +109,5 @@ def limited_stream(stream: DataFrame, limit: int = vocab.REQUESTS_PER_MINUTE, se
         if kept:
             state.setTimeoutTimestamp(max(int((kept[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    rows = stream.withWatermark("ts", late).select("event_id", F.col(key).cast("long").alias(key), "ts", (F.unix_micros("ts") / 1e6).alias("at"))
+    rows = stream.withWatermark("ts", late).select("event_id", F.col(key).cast("long").alias(key), "ts", (_micros() / 1e6).alias("at"))
     return rows.groupBy(key).applyInPandasWithState(run, "event_id long, user long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
