@@ -66,7 +66,7 @@ def duplicate_links(records: DataFrame, bits: int = 64) -> DataFrame:
     Only fingerprints are shuffled for all records; fields only of those that share one. These are then compared
     with the fields of the smallest id, and what fails the comparison is grouped by its very fields.
     """
-    known = records.where(F.col("fields").isNotNull() & F.col("id").isNotNull())
+    known = records.select("origin", "id", "fields").where(F.col("fields").isNotNull() & F.col("id").isNotNull())
     marked = known.withColumn("fp", fingerprint(F.col("fields"), bits))
     groups = marked.groupBy("origin", "fp").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = stage(groups, "copy-groups")

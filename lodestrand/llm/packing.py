@@ -207,6 +207,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bucket for each BUCKET_ITEMS of its items, MOST_BUCKETS at most, which bounds the sums.
     """
     spark = items.sparkSession
+    items = items.select("doc_id", "piece_no", "token_start", "size")
     hist = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
     buckets = spark.createDataFrame([(s, min(MOST_BUCKETS, -(-n // BUCKET_ITEMS))) for s, n in hist.items()], "size int, buckets int")
     items = items.join(F.broadcast(buckets), "size").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("buckets")).cast("int")).drop("buckets")
