@@ -15,6 +15,7 @@ from lodestrand.llm.common import blank
 from lodestrand.session import stage
 
 SEED_WORDS, RUN_WORDS = 5, 13
+RARE_DOCS = 200
 MATCH, MISS, GAP = 2, -1, -1
 #: Items are taken in blocks of so many at most; a block's seeds and words are all that is ever broadcast.
 BLOCK_ITEMS = 2_000
@@ -68,11 +69,13 @@ def seed_hits(docs: DataFrame, grams: list[str]) -> DataFrame:
 
 def rarest_seeds(grams: DataFrame, freq: DataFrame, run: int = RUN_WORDS, n: int = SEED_WORDS) -> DataFrame:
     """(item_id, gram): of every ``run`` consecutive words of an item the gram in fewest documents, so that whoever
-    holds such a run holds one of the item's seeds."""
+    holds such a run holds one of the item's seeds; and every gram in RARE_DOCS documents at most, for edited copies
+    whose unbroken runs are shorter."""
     known = grams.join(freq, "gram", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
     window = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, run - n)
     best = known.withColumn("best", F.min(F.struct("docs", "pos", "gram")).over(window))
-    return best.where(F.col("pos") <= F.greatest(F.col("size") - run, F.lit(0))).select("item_id", F.col("best.gram").alias("gram")).distinct()
+    cover = best.where(F.col("pos") <= F.greatest(F.col("size") - run, F.lit(0))).select("item_id", F.col("best.gram").alias("gram"))
+    return cover.unionByName(known.where(F.col("docs") <= RARE_DOCS).select("item_id", "gram")).distinct()
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:

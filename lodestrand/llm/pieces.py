@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestrand.llm.common import contents
 
 LIMIT, OVERLAP = 1000, 120
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: Deeper indents count as this one, so the tree's depth is bounded.
+DEEPEST_INDENT = 40
 PIECE_FIELDS = "doc_pos long, piece_no long, char_start long, char_end long"
 
 
@@ -99,7 +102,7 @@ def structure_tree(text: str) -> Node:
         if m := _HEADING.match(line):
             spans.append((int(m[2] or len(m[1])), at, end))
         elif m := _ITEM.match(line):
-            spans.append((10 + len(m[1].expandtabs(4)), at, end))
+            spans.append((10 + min(len(m[1].expandtabs(4)), DEEPEST_INDENT), at, end))
         elif spans and not blank_before and spans[-1][0] >= 10:
             spans[-1] = (spans[-1][0], spans[-1][1], end)
         else:
@@ -147,9 +150,6 @@ def tree_pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
                 merged.append((s, e))
         return merged
 
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 5000))
     return [(max(0, s - overlap) if i else s, e) for i, (s, e) in enumerate(pack(structure_tree(text)))]
 
 
@@ -159,7 +159,6 @@ def split(docs: DataFrame, how: Callable[[str, int, int], list[tuple[int, int]]]
     Null and blank contents and null keys are left out, a ``doc_pos`` counts once. Only the texts over the limit
     reach Python, whole, however long. Further columns of ``docs`` are ignored.
     """
-    from pyspark.sql import functions as F
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,8 +171,6 @@ def split(docs: DataFrame, how: Callable[[str, int, int], list[tuple[int, int]]]
 
 def pieces_with_metadata(docs: DataFrame, how=tree_pieces, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The pieces with their text and the document's ``metadata`` (of its latest arrival)."""
-    from pyspark.sql import functions as F
-
     whole = contents(docs, ("metadata",))
     return split(docs, how, limit, overlap).join(whole, "doc_pos").select(
         "doc_pos", "piece_no", "char_start", "char_end",
