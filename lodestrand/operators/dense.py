@@ -16,6 +16,7 @@ from lodestrand.operators.sparse import top_k
 #: Query vectors are sent to the corpus in blocks of so many bytes at most.
 BLOCK_BYTES = 32 << 20
 MOST_BLOCKS = 1024
+QUERY_ROWS = 512
 
 
 def usable(v: Column, dim: Column | None = None) -> Column:
@@ -41,14 +42,23 @@ def dot(a: Column, b: Column) -> Column:
 
 def hash_embedding(docs: DataFrame, keys: list[str], text: str = "content", dims: int = vocab.HASH_DIMS) -> DataFrame:
     """(keys..., vec): every run of the text adds 1 or -1, by the fifth byte of its SHA-256, to the element its first
-    four bytes name; then unit length. One aggregation of ``dims`` sums, added up before the only shuffle."""
-    words = docs.select(*keys, F.explode_outer(T.runs(F.col(text))).alias("w")).select(*keys, F.sha2("w", 256).alias("h"))
-    slot = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims).cast("int")
-    sign = F.when(F.conv(F.substring("h", 10, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    parts = words.select(*keys, slot.alias("slot"), sign.alias("x"))
-    sums = parts.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("x"))), F.lit(0.0)).alias(f"_{i}") for i in range(dims)])
-    rows = sums.select(*keys, F.array(*[F.col(f"_{i}") for i in range(dims)]).alias("vec"))
-    return rows.select(*keys, l2_normalize(F.col("vec")).alias("vec"))
+    four bytes name; then unit length. Worked out within the row, so nothing is shuffled."""
+
+    def signed(w: Column) -> Column:
+        def place(h: Column) -> Column:
+            slot = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims + 1).cast("int")
+            return F.when(F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2 == 0, slot).otherwise(-slot)
+
+        return T.let(F.sha2(w, 256), place)
+
+    def sums(places: Column) -> Column:
+        def count(i: Column) -> Column:
+            return F.size(F.filter(places, lambda x: x == i))
+
+        return F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: (count(i) - count(-i)).cast("double"))
+
+    words = F.transform(T.runs(F.coalesce(F.col(text), F.lit(""))), signed)
+    return docs.select(*keys, T.let(T.let(words, sums), l2_normalize).alias("vec"))
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, query_keys: list[str], doc_key: str, vec: str = "vec", exclude_self: bool = False) -> DataFrame:
@@ -80,19 +90,23 @@ def search(queries: DataFrame, docs: DataFrame, k: int, query_keys: list[str], d
 def _scan(shared, k: int, query_keys: list[str], doc_key: str, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best_s, best_d = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        best_s, best_d = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
         for b in batches:
             if not b.num_rows or not len(q):
                 continue
             docs = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1)
-            s = np.einsum("qd,nd->qn", q, x, optimize=True)
-            if exclude_self:
-                s[ids[:, :1] == docs[None, :]] = -np.inf
-            s = np.concatenate([best_s, s], 1)
-            d = np.concatenate([best_d, np.broadcast_to(docs, (len(q), len(docs)))], 1)
-            order = np.lexsort((d, -np.round(s, 9)), axis=1)[:, :k]
-            best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+            order = np.argsort(docs, kind="stable")
+            docs, x = docs[order], b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1)[order]
+            for i in range(0, len(q), QUERY_ROWS):
+                part = slice(i, i + QUERY_ROWS)
+                s = q[part] @ x.T
+                if exclude_self:
+                    s[ids[part, :1] == docs[None, :]] = -np.inf
+                at = _first(s, min(k, len(docs)))
+                s = np.concatenate([best_s[part], np.take_along_axis(s, at, 1)], 1)
+                d = np.concatenate([best_d[part], docs[at]], 1)
+                keep = np.lexsort((d, -np.round(s, 9)), axis=1)[:, :k]
+                best_s[part], best_d[part] = np.take_along_axis(s, keep, 1), np.take_along_axis(d, keep, 1)
         at = np.nonzero(np.isfinite(best_s))
         cols = [pa.array(ids[at[0], c]) for c in range(len(query_keys))]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(best_d[at]), pa.array(best_s[at])], [*query_keys, doc_key, "score"])
@@ -100,6 +114,14 @@ def _scan(shared, k: int, query_keys: list[str], doc_key: str, exclude_self: boo
     return run
 
 
+def _first(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest cosines of each row, to nine decimals, the earlier of equal ones."""
+    if k >= s.shape[1]:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    key = np.rint(np.clip(s, -2, 2) * 1e9).astype(np.int64) * (1 << 30) - np.arange(s.shape[1])
+    return np.argpartition(-key, k - 1, axis=1)[:, :k]
+
+
 def rerank(pool: DataFrame, keys: list[str], tie: str, weight: float = vocab.RERANK_WEIGHT) -> DataFrame:
     """Orders a dense pool (keys..., rank, relevance) anew by (1 - weight) * (1 - (rank - 1) / n) + weight * relevance;
     equal scores keep the dense order. The pool's size n counts, so a wider pool isn't a longer list of the same."""

@@ -11,7 +11,7 @@ from lodestrand.operators import cache, chunking, dense
 from lodestrand.queries import samples
 from lodestrand.queries import sqlparts as P
 from lodestrand.queries.registry import query
-from lodestrand.session import table
+from lodestrand.session import spread, table
 from lodestrand.sources import documents as D
 from lodestrand.sources import sinks
 
@@ -80,7 +80,8 @@ _SCANNED = f"(SELECT 's' || id AS key, text FROM {P.values(samples.TEXTS)} s(id,
 
 def scanned(spark: SparkSession, d: str) -> DataFrame:
     own = sample(spark, samples.TEXTS, "id long, text string").select(F.concat(F.lit("s"), "id").alias("key"), "text")
-    return own.unionByName(table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("d"), "doc_id").alias("key"), "text"))
+    texts = spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null")
+    return own.unionByName(texts.select(F.concat(F.lit("d"), "doc_id").alias("key"), "text"))
 
 
 @query(f"SELECT key, {P.suspicious('text')} AS suspicious, least(1.0, 0.25 * len({P.matched('text')}))::DOUBLE AS risk, array_to_string({P.matched('text')}, ',') AS patterns FROM {_SCANNED} t")

@@ -67,5 +67,12 @@ def _remove_staged() -> None:
             return
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if its files make fewer, as those of small tables do: work on texts
+    takes long for their bytes. Larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
