@@ -174,7 +174,7 @@ def _models(shared) -> dict[str, dict]:
 
 
 def _assign(shared, probes: int):
-    """A row for each cell that a vector is searched in, the first of which holds it."""
+    """Each vector with the cells it is searched in, the first of which holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(shared)
@@ -191,11 +191,8 @@ def _assign(shared, probes: int):
                 best = np.argpartition(-dots, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
                 order = np.argsort(-np.take_along_axis(dots, best, 1), axis=1, kind="stable")
                 best = np.take_along_axis(best, order, 1)
-                where = pa.array(np.repeat(np.arange(len(at)), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s] * (len(at) * n), pa.string()), pa.array(best.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n), len(at)) == 0), pa.array(np.repeat(ids[at], n)), mine.take(where)],
-                    ["space", "cell", "held", "id", "v"],
-                )
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * n + 1, n), pa.int32()), pa.array(best.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), cells, pa.array(ids[at]), mine], ["space", "cells", "id", "v"])
 
     return run
 
@@ -258,8 +255,8 @@ def nearest(vectors: DataFrame, k: int = K, threshold: float = THRESHOLD, probes
     models = fit_index(vectors)
     models[None] = repr(sorted((x, len(m), hash(m)) for x, m in models.items())).encode()
     shared = spark.sparkContext.broadcast(models)
-    cells = cold.mapInArrow(_assign(shared, probes), "space string, cell int, held boolean, id long, v binary")
-    cells = stage(cells, "cells")
+    placed = stage(cold.mapInArrow(_assign(shared, probes), "space string, cells array<int>, id long, v binary"), "cells")
+    cells = placed.select("space", F.posexplode("cells").alias("no", "cell"), "id", "v").withColumn("held", F.col("no") == 0)
     sizes = cells.groupBy("space", "cell").agg(F.count_if("held").alias("held_rows"), F.count("*").alias("asking"))
     parts = sizes.select("space", "cell", *[F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int").alias(f"{c}_parts") for c in ("held_rows", "asking")])
     parted = cells.join(F.broadcast(parts), ["space", "cell"])
