@@ -144,7 +144,29 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     return fusion.diverse(pool, ["query_id"], 4).select("query_id", F.col("pick_no").cast("long").alias("pick_no"), "pos")
 
 
-@query()
+def _sentences_sql(x: str) -> str:
+    """Sentences of a text without suspicious lines; the marks of the look-around are put in by replacement."""
+    safe = P.strip(f"array_to_string(regexp_split_to_array({x}, '\\r\\n|[\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), chr(10))")
+    marked = f"regexp_replace({safe}, '([.!?])[ \\t\\n\\x0b\\x0c\\r]+([A-Z0-9])', '\\1' || chr(10) || '\\2', 'g')"
+    kept = f"list_filter(list_transform(regexp_split_to_array({marked}, '\\n+'), lambda p: {P.strip('p')}), lambda p: length(p) >= 3)"
+    return f"CASE WHEN {P.suspicious(x)} OR {safe} = '' THEN [] WHEN len({kept}) > 0 THEN {kept} ELSE [{safe}] END"
+
+
+_CUT = f"cut AS (SELECT query_id, query, rank, label, content, generate_subscripts(ss, 1)::INT AS sentence_no, unnest(ss) AS sentence FROM (SELECT query_id, query, rank, label, content, {_sentences_sql('content')} AS ss FROM top))"
+_TOP3 = f"WITH {_ITEMS}, {_BM25}, top AS (SELECT query_id, query, rank::INT AS rank, content, label FROM sparse JOIN corpus USING (pos) JOIN q USING (query_id) WHERE rank <= 3), {_CUT}"
+_NUM = r"'(?:^|[^\pL\pN_])\d{2,4}(?:$|[^\pL\pN_])'"
+_CAPS = r"regexp_extract_all(regexp_replace(query, '([^\pL\pN_])', '\1\1', 'g'), '(?:^|[^\pL\pN_])([A-Z][a-zA-Z0-9]+)(?:$|[^\pL\pN_])', 1)"
+_BONUS = (
+    f"CASE WHEN len(qt) > 0 AND len(st) > 0 THEN least(0.25::DOUBLE, len(list_intersect(qt, st))::DOUBLE / len(list_distinct(qt)) * 0.15 + CASE WHEN regexp_matches(query, {_NUM}) AND regexp_matches(sentence, {_NUM}) THEN 0.10 ELSE 0.0 END "
+    f"+ least(0.15::DOUBLE, len(list_filter({_CAPS}, lambda t: contains(lower(sentence), lower(t)))) * 0.05::DOUBLE)) ELSE 0.0 END"
+)
+_CHOSEN = f"""{_TOP3}, raw AS (SELECT *, {P.relevance('qt', 'st', f"least(1.0, 0.25 * len({P.matched('sentence')}))")} + {_BONUS} AS raw FROM (SELECT *, {P.tokens('query')} AS qt, {P.tokens('sentence')} AS st FROM cut)),
+ num AS (SELECT *, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank, sentence_no)::INT AS evidence_id FROM raw WHERE raw >= 0.01),
+ doc3 AS (SELECT * FROM num QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY score DESC, sentence_no) <= 3),
+ chosen AS (SELECT query_id, evidence_id, rank, sentence_no, sentence, score, label FROM doc3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, sentence_no) <= 10)"""
+
+
+@query(f"WITH {P.CORPUS} SELECT pos, generate_subscripts(ss, 1)::INT - 1 AS sentence_no, unnest(ss) AS sentence FROM (SELECT pos, {_sentences_sql('content')} AS ss FROM corpus)")
 def evidence_sentences(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("pos", F.posexplode(T.evidence_sentences(F.col("content"))).alias("sentence_no", "sentence"))
 
@@ -153,32 +175,43 @@ def _top_docs(spark: SparkSession, d: str) -> DataFrame:
     return _related(spark, d, _sparse(spark, d, 3)).select("query_id", "query", "rank", "content", "label", "doc_id", "relevance")
 
 
-@query()
+@query(f"{_CHOSEN} SELECT * FROM chosen")
 def select_evidence(spark: SparkSession, d: str) -> DataFrame:
     return context.select_evidence(_top_docs(spark, d), ["query_id"])
 
 
-@query()
-def compressed_context(spark: SparkSession, d: str) -> DataFrame:
-    return context.compressed_context(_top_docs(spark, d), ["query_id"], 600)
-
-
 def _block_sql(n: int, budget: int) -> str:
-    """The fold over three blocks, unrolled."""
+    """The fold over ``n`` blocks, unrolled."""
     cut = lambda b, left: (
         f"CASE WHEN {left} <= 0 THEN '' WHEN length({b}) <= {left} THEN {b} WHEN {left} <= {len(V.TRUNCATED)} THEN substr({b}, 1, {left}) ELSE "
         f"(CASE WHEN length(rtrim(regexp_replace(substr({b}, 1, {left} - {len(V.TRUNCATED)}), ' [^ ]*$', ''))) > 0 THEN rtrim(regexp_replace(substr({b}, 1, {left} - {len(V.TRUNCATED)}), ' [^ ]*$', '')) ELSE rtrim(substr({b}, 1, {left} - {len(V.TRUNCATED)})) END) || {P.quoted(V.TRUNCATED)} END"
     )
-    steps, prev = [], "(SELECT query_id, '' AS t, bs FROM bl)"
+    steps, prev = [], "(SELECT query_id, '' AS t, 0 AS n, bs FROM bl)"
     for i in range(1, n + 1):
         gap = "CASE WHEN t <> '' THEN 2 ELSE 0 END"
         left = f"({budget} - length(t) - {gap})"
         sep = "CASE WHEN t <> '' THEN chr(10) || chr(10) ELSE '' END"
-        steps.append(f"f{i} AS (SELECT query_id, CASE WHEN bs[{i}] IS NULL OR {left} <= 0 THEN t ELSE t || {sep} || {cut(f'bs[{i}]', left)} END AS t, bs FROM {prev})")
+        steps.append(f"f{i} AS (SELECT query_id, CASE WHEN bs[{i}] IS NULL OR {left} <= 0 THEN t ELSE t || {sep} || {cut(f'bs[{i}]', left)} END AS t, CASE WHEN bs[{i}] IS NULL OR {left} <= 0 THEN n ELSE n + 1 END AS n, bs FROM {prev})")
         prev = f"f{i}"
     return ", ".join(steps)
 
 
+def _context_sql(budget: int) -> str:
+    block = "printf('[Evidence %d | source=%s | score=%.3f]', evidence_id, label, score) || chr(10) || sentence"
+    return (
+        f"{_CHOSEN}, bl AS (SELECT query_id, list({block} ORDER BY rank, sentence_no) AS bs FROM chosen GROUP BY query_id), {_block_sql(10, budget)}, "
+        f"ctx AS (SELECT query_id, coalesce(t, {P.quoted(V.NO_CONTEXT)}) AS context, coalesce(n, 0)::INT AS selected, original_chars FROM (SELECT query_id, sum(length(content))::BIGINT AS original_chars FROM top GROUP BY query_id) LEFT JOIN f10 USING (query_id))"
+    )
+
+
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({P.strip('context')}, '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(10), 'g'), '\\n+'), lambda p: {P.strip('p')}), lambda p: p <> '')"
+
+
+@query(f"{_context_sql(600)} SELECT query_id, context, selected, original_chars, length(context)::INT AS compressed_chars, CASE WHEN selected > 0 THEN round(length(context)::DOUBLE / original_chars, 4) ELSE 0.0 END AS ratio FROM ctx")
+def compressed_context(spark: SparkSession, d: str) -> DataFrame:
+    return context.compressed_context(_top_docs(spark, d), ["query_id"], 600)
+
+
 @query(
     f"WITH {_ITEMS}, {_BM25}, top AS (SELECT query_id, rank, content, label FROM sparse JOIN corpus USING (pos) WHERE rank <= 3), "
     f"bl AS (SELECT query_id, list(printf('[Evidence %d | source=%s]', rank, label) || chr(10) || {P.strip(f'array_to_string(regexp_split_to_array(content, chr(13) || chr(10) || {chr(39)}|[{chr(92)}n{chr(92)}x0b{chr(92)}x0c{chr(92)}r{chr(92)}x{{85}}{chr(92)}x{{2028}}{chr(92)}x{{2029}}]{chr(39)}), chr(10))')} ORDER BY rank) AS bs FROM top WHERE NOT {P.suspicious('content')} GROUP BY query_id), "
@@ -188,7 +221,12 @@ def evidence_block(spark: SparkSession, d: str) -> DataFrame:
     return context.evidence_block(_top_docs(spark, d), ["query_id"], 700)
 
 
-@query()
+@query(
+    f"{_context_sql(V.CONTEXT_CHARS)}, parts AS (SELECT query_id, list_filter(list_distinct({P.runs('query')}), lambda t: length(t) > 2) AS qw, {_PARTS} AS ps, context FROM ctx JOIN q USING (query_id)), "
+    "used AS (SELECT query_id, qw, context, CASE WHEN len(hs) > 0 THEN hs ELSE ps END AS us FROM (SELECT *, list_filter(ps, lambda p: NOT regexp_matches(p, '^\\[(?:Evidence|doc=|source=)')) AS hs FROM parts)), "
+    f"scored AS (SELECT query_id, context, s, i, len(list_intersect(qw, {P.runs('s')})) AS hits FROM (SELECT query_id, qw, context, unnest(us) AS s, generate_subscripts(us, 1) AS i FROM used)) "
+    f"SELECT query_id, CASE WHEN contains(context, {P.quoted(V.NO_CONTEXT)}) THEN {P.quoted(V.EVIDENCE_ABSTENTION)} ELSE substr(s, 1, 300) END AS answer FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, length(s), i) = 1"
+)
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     built = context.compressed_context(_top_docs(spark, d), ["query_id"])
     return grounding.extractive_answer(items(spark, d).join(built, "query_id"), ["query_id"])
