@@ -11,7 +11,7 @@ from lodestrand.operators import context, dense, fusion, grounding, retrieval, s
 from lodestrand.plans import pipelines, routing
 from lodestrand.queries import sqlparts as P
 from lodestrand.queries.questions import asked
-from lodestrand.queries.records import corpus
+from lodestrand.queries.records import _chunk_sql, corpus
 from lodestrand.queries.registry import query
 from lodestrand.queries.words import HASHED, TF
 from lodestrand.session import stage, table
@@ -243,9 +243,28 @@ def index_preparation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sizes, "kind string, units long")
 
 
-@query()
+def _units_sql(size: int, overlap: int) -> str:
+    """The corpus' chunks in the place of its documents."""
+    cut = _chunk_sql(size, overlap).split("WITH RECURSIVE ", 1)[1].split("SELECT pos, no::INT", 1)[0]
+    cut = cut.replace("corpus AS (", "base AS (", 1).replace("FROM corpus\n", "FROM base\n")
+    return f"{cut}, corpus AS (SELECT pos * 100000 + no AS pos, {P.strip('p')} AS content FROM kept WHERE {P.strip('p')} <> '')"
+
+
+def _baseline_sql(k: int) -> str:
+    lists = f"lists AS (SELECT query_id, pos, rank, 0 AS list_no FROM re UNION ALL SELECT query_id, pos, rank, 1 FROM sparse WHERE rank <= {2 * k})"
+    first = f"pool AS (SELECT * FROM dense WHERE rank <= {2 * k}), {_REL}, {_RERANK}"
+    second = _RRF.replace(f"<= {2 * K}", f"<= {2 * k}").replace("pool AS", "pool2 AS"), _REL.replace("rel AS", "rel2 AS").replace("FROM pool l", "FROM pool2 l"), _JAC.replace("FROM pool ", "FROM pool2 ")
+    head = f"WITH RECURSIVE {P.QUESTIONS}, q AS (SELECT query_id, query FROM asked), {_BM25}, {_DENSE}, {first}, {lists}, {', '.join(second)}".replace(P.CORPUS, _units_sql(*V.CHILD_CHUNK))
+    steps, last = _mmr_sql(k).split(" SELECT query_id, 1::BIGINT", 1)
+    return (
+        f"{head}, cand AS MATERIALIZED (SELECT query_id, rank, pos, relevance FROM rel2), sym AS MATERIALIZED (SELECT query_id, rank_a AS r, rank_b AS o, j FROM pr UNION ALL SELECT query_id, rank_b, rank_a, j FROM pr), {steps}, "
+        f"picked AS (SELECT query_id, 1::BIGINT{last}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pick_no)::INT AS rank, pos AS unit, round(relevance, 6) AS relevance FROM picked JOIN rel2 USING (query_id, pos) WHERE NOT {P.suspicious('content')}"
+    )
+
+
+@query(_baseline_sql(V.TOP_K))
 def baseline_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.baseline_retrieve(asked(spark, d).select("query_id", "query"), index(spark, d, V.CHILD_CHUNK)).select("query_id", "rank", "unit", "doc_id", F.round("relevance", 6).alias("relevance"))
+    return pipelines.baseline_retrieve(asked(spark, d).select("query_id", "query"), index(spark, d, V.CHILD_CHUNK)).select("query_id", "rank", "unit", F.round("relevance", 6).alias("relevance"))
 
 
 @query()
