@@ -1,4 +1,4 @@
-"""Problem 8: evaluation passages in training text, by rare n-gram seeds and local alignment."""
+"""Problem 8: evaluation passages in training text, by n-gram seeds and local alignment."""
 
 from __future__ import annotations
 
@@ -8,14 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import blank
 from lodestrand.session import stage
 
 SEED_WORDS, RUN_WORDS = 5, 13
-RARE_DOCS = 200
 MATCH, MISS, GAP = 2, -1, -1
 #: Items are taken in blocks of so many at most; a block's seeds and words are all that is ever broadcast.
 BLOCK_ITEMS = 2_000
@@ -67,17 +66,6 @@ def seed_hits(docs: DataFrame, grams: list[str]) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, words string, hits array<int>")
 
 
-def rarest_seeds(grams: DataFrame, freq: DataFrame, run: int = RUN_WORDS, n: int = SEED_WORDS) -> DataFrame:
-    """(item_id, gram): of every ``run`` consecutive words of an item the gram in fewest documents, so that whoever
-    holds such a run holds one of the item's seeds; and every gram in RARE_DOCS documents at most, for edited copies
-    whose unbroken runs are shorter."""
-    known = grams.join(freq, "gram", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    window = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, run - n)
-    best = known.withColumn("best", F.min(F.struct("docs", "pos", "gram")).over(window))
-    cover = best.where(F.col("pos") <= F.greatest(F.col("size") - run, F.lit(0))).select("item_id", F.col("best.gram").alias("gram"))
-    return cover.unionByName(known.where(F.col("docs") <= RARE_DOCS).select("item_id", "gram")).distinct()
-
-
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     """(score, run): the best Smith-Waterman score of two rows of word numbers, and their longest common run."""
     at = np.arange(len(doc) + 1)
@@ -102,10 +90,16 @@ def _aligned(items: dict[int, list[str]], seeds: dict[int, list[int]], least_sha
                 if not (found := {i for g in hits for i in seeds.value.get(g, ())}):
                     continue
                 doc = np.array([number.get(w, -1) for w in line.split()])
+                held = np.zeros(len(number) + 1, bool)
+                held[doc] = True
+                held[-1] = False
                 for i in found:
-                    score, longest = align(coded[i], doc)
                     size = len(coded[i])
-                    if score >= MATCH * min(RUN_WORDS, least_share * size):
+                    least = MATCH * min(RUN_WORDS, least_share * size)
+                    if MATCH * held[coded[i]].sum() < least:
+                        continue  # no alignment scores more than all words in common
+                    score, longest = align(coded[i], doc)
+                    if score >= least:
                         out.append((doc_id, i, score, longest, size, score / (MATCH * size)))
             cols = list(zip(*out)) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
@@ -119,7 +113,8 @@ def alignments(docs: DataFrame, items: DataFrame, least_share: float = 0.6) -> D
 
     ``score`` is the local alignment's over words, ``covered`` its share of the item's own, ``run`` the longest run of
     words in common. Rows score as much as 13 words in a row, or ``least_share`` of the item. A document that holds 13
-    consecutive words of an item, or all of a shorter one, is never missed. Documents with null id or text and items
+    consecutive words of an item, or all of a shorter one, is never missed. Every word 5-gram of an item is a seed, however
+    many documents hold it; a document without any of them in common isn't aligned. Documents with null id or text and items
     without a word give no row; whole texts are read, markup included. With no items the result is empty.
     """
     spark = docs.sparkSession
@@ -132,11 +127,9 @@ def alignments(docs: DataFrame, items: DataFrame, least_share: float = 0.6) -> D
         part = grams.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         texts = [r["gram"] for r in part.select("gram").distinct().orderBy("gram").collect()]
         hits = stage(seed_hits(docs, texts), "seed-hits")
-        count = {r["g"]: r["docs"] for r in hits.select(F.explode("hits").alias("g")).groupBy("g").agg(F.count("*").alias("docs")).collect()}
-        freq = spark.createDataFrame([(g, count.get(i, 0)) for i, g in enumerate(texts)], "gram string, docs long")
         at = {g: i for i, g in enumerate(texts)}
         seeds = defaultdict(list)
-        for r in rarest_seeds(part, freq).collect():
+        for r in part.select("item_id", "gram").distinct().collect():
             seeds[at[r["gram"]]].append(r["item_id"])
         whole = {r["item_id"]: r["w"] for r in part.where("pos = 0").select("item_id", "w").collect()}
         sc = spark.sparkContext

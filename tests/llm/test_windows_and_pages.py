@@ -107,6 +107,14 @@ def test_leaks(spark):
     assert (8, 1) in aligned and (7, 2) not in exact
 
 
+def test_edited_copy_of_a_hot_item(spark):
+    words = [f"hot{i}" for i in range(24)]
+    edited = " ".join("edited" if i % 7 == 6 else w for i, w in enumerate(words))
+    docs = [(i, " ".join(words)) for i in range(250)] + [(999, edited), (1000, " ".join(words[:5]))]
+    exact, aligned = leaks(spark, docs, [(1, " ".join(words))])
+    assert exact == {(i, 1) for i in range(250)} and aligned == exact | {(999, 1)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 3)
     items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(10)]
