@@ -72,6 +72,12 @@ def safe_lines(c: Column) -> Column:
     return F.when(suspicious(c), F.lit("")).otherwise(strip(F.array_join(lines, "\n")))
 
 
+def secrets(c: Column) -> Column:
+    """Labels of the kinds of keys and secrets that a text holds."""
+    hits = [F.when(F.coalesce(c, F.lit("")).rlike(p), F.lit(k)) for k, p in vocab.SECRET_PATTERNS.items()]
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+
 def relevance(q: Column, d: Column, risk_of: Column | None = None) -> Column:
     """Lexical relevance of tokens ``d`` to tokens ``q``, from 0 to 1; a suspicious text loses up to half."""
 

@@ -23,6 +23,12 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return D.questions(table(spark, d, "questions"))
 
 
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, context, place, answer) of every answer of every question."""
+    rows = asked(spark, d).select("query_id", "context", F.posexplode("answers").alias("i", "answer"))
+    return rows.select("query_id", "context", (F.col("i") + 1).alias("place"), "answer")
+
+
 def everything(spark: SparkSession, d: str) -> DataFrame:
     own = sample(spark, samples.POLICY, "id int, query string").select(F.concat(F.lit("s"), "id").alias("key"), "query")
     return own.unionByName(asked(spark, d).select(F.concat(F.lit("q"), "query_id").alias("key"), "query"))
@@ -149,6 +155,15 @@ def abstention_flags(spark: SparkSession, d: str) -> DataFrame:
     return sample(spark, samples.ABSTENTIONS, "id int, text string").select("id", T.is_evidence_abstention(F.col("text")).alias("evidence"), T.is_abstention(F.col("text")).alias("abstains"))
 
 
+@query(
+    f"WITH {P.QUESTIONS} SELECT query_id, place, {_FORM('text')} = {P.quoted(V.EVIDENCE_ABSTENTION.lower().rstrip('.'))} AS evidence, {_FORM('text')} IN ({P.quoted(V.EVIDENCE_ABSTENTION.lower().rstrip('.'))}, {P.quoted(V.STATIC_ABSTENTION.lower().rstrip('.'))}) AS abstains "
+    f"FROM (SELECT query_id, unnest(given) AS text, generate_subscripts(given, 1)::INT AS place FROM (SELECT query_id, {P.ANSWERS} AS given FROM asked))"
+)
+def answer_abstentions(spark: SparkSession, d: str) -> DataFrame:
+    rows = answers(spark, d)
+    return rows.select("query_id", "place", T.is_evidence_abstention(F.col("answer")).alias("evidence"), T.is_abstention(F.col("answer")).alias("abstains"))
+
+
 _MARK = r"""list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(a, '\b\d{1,4}(?:[.,:]\d+)?%?\b'), list_filter(list_transform(regexp_extract_all(a, '\b(?:[A-Z][a-zA-Z0-9]+|[A-Z]{2,})(?:\s+(?:[A-Z][a-zA-Z0-9]+|[A-Z]{2,})){0,4}\b'),
   lambda s: array_to_string(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w NOT IN ('I','The','A','An','It','This','That','Based','Answer')), ' ')), lambda s: s <> '' AND NOT list_contains(STOPS, lower(s)))), lambda s: {'n': length(s), 'l': lower(s), 's': s})))""".replace("STOPS", P.listed(V.STOP_WORDS))
 
@@ -185,3 +200,20 @@ def answer_support(spark: SparkSession, d: str) -> DataFrame:
 def enforce_grounding(spark: SparkSession, d: str) -> DataFrame:
     out = grounding.enforced(F.col("answer"), F.col("context"), F.lit("good"), F.col("report"))
     return _grounded(spark).select("id", out.alias("o")).select("id", "o.answer", "o.status")
+
+
+def _all_grounded(spark: SparkSession, d: str) -> DataFrame:
+    return answers(spark, d).withColumn("report", grounding.support(F.col("answer"), F.array("context")))
+
+
+@query()
+def question_support(spark: SparkSession, d: str) -> DataFrame:
+    """``answer_support`` of every answer of every question against the question's context."""
+    return _all_grounded(spark, d).select("query_id", "place", "report.status", "report.is_supported", "report.support_score")
+
+
+@query()
+def question_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """``enforce_grounding`` of every answer of every question against the question's context."""
+    out = grounding.enforced(F.col("answer"), F.col("context"), F.lit("good"), F.col("report"))
+    return _all_grounded(spark, d).select("query_id", "place", out.alias("o")).select("query_id", "place", "o.answer", "o.status")

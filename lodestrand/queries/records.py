@@ -116,8 +116,15 @@ _DUMMY = r"(?im)^\s*(?:OPENAI|OPENROUTER|GOOGLE)_API_KEY\s*=\s*(?:your-|replace|
     ) + ")"
 )
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    hits = F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in V.SECRET_PATTERNS.items()])
-    return sample(spark, samples.SECRETS, "id int, text string").select("id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("label"))
+    return sample(spark, samples.SECRETS, "id int, text string").select("id", F.explode(T.secrets(F.col("text"))).alias("label"))
+
+
+@query()
+def secret_report(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each sample and each document, with the labels of what it holds."""
+    own = sample(spark, samples.SECRETS, "id long, text string").select(F.concat(F.lit("s"), "id").alias("key"), "text")
+    texts = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), "doc_id").alias("key"), "text")
+    return own.unionByName(texts).select("key", F.array_join(T.secrets(F.col("text")), ",").alias("labels"))
 
 
 @query(f"SELECT doc_id, {P.has_text('text', V.MOJIBAKE)} AS broken FROM documents WHERE text IS NOT NULL")
@@ -197,6 +204,14 @@ def csv_safe_export(spark: SparkSession, d: str) -> DataFrame:
     return sinks.csv_rows(sample(spark, samples.FORMULAS, "id int, text string")).select("id", F.col("text").alias("safe"))
 
 
+_SAFE = lambda x: f"CASE WHEN regexp_matches(regexp_replace({x}, '^{P.WS}+', ''), '^[=+\\-@]') THEN '''' || {x} ELSE {x} END"
+
+
+@query(f"WITH {P.QUESTIONS} SELECT query_id, {_SAFE('query')} AS query, {_SAFE('context')} AS context, to_json({P.ANSWERS})::VARCHAR AS answers FROM asked")
+def csv_safe_questions(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.csv_rows(D.questions(table(spark, d, "questions")))
+
+
 def _truncate_sql(x: str, n: int) -> str:
     head = f"substr({x}, 1, {n - len(V.TRUNCATED)})"
     word = f"rtrim(regexp_replace({head}, ' [^ ]*$', ''))"
