@@ -16,7 +16,8 @@ from lodestrand.session import stage
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MOST_PATTERNS = 60_000
+#: Over all that are listed for 2,048 lengths; larger capacities share it among their lengths.
+MOST_PATTERNS = 400_000
 ROUNDS = 400
 BUCKET_ITEMS, MOST_BUCKETS = 100_000, 512
 # Fixed value: the split pattern that belongs to the byte-level vocabulary.
@@ -101,7 +102,7 @@ def _put(open_: dict, done: Counter, pattern: Pattern, room: int, n: int) -> Non
 
 def candidate_patterns(hist: dict[int, int], capacity: int, most: int = MOST_PATTERNS) -> list[Pattern]:
     """Patterns of few documents that fill a window: every pair, and for every length with each of the most frequent
-    ones the third that fits; those of best fit on the histogram and on slices of it, which reach the short lengths."""
+    ones the third that fits, the frequent ones being taken in turn for all lengths until there are ``most`` patterns; those of best fit on the histogram and on slices of it, which reach the short lengths."""
     sizes = np.array(sorted(hist), dtype=np.int64)
     known = set(hist)
     found: dict[Pattern, None] = {}
@@ -115,15 +116,16 @@ def candidate_patterns(hist: dict[int, int], capacity: int, most: int = MOST_PAT
         b = capacity - a
         if b in known and b <= a:
             found[(a, b)] = None
-        for m in often:
-            for k in range(1, 5):  # a long one, k of a frequent length, and what fills the window
+    for m in often:
+        for k in range(1, 5):  # a long one, k of a frequent length, and what fills the window
+            if len(found) >= most:
+                return list(found)
+            for a in sizes.tolist():
                 c = capacity - a - k * m
                 if c <= 0:
                     break
                 if c in known:
                     found[tuple(sorted((a, *(m,) * k, c), reverse=True))] = None
-        if len(found) >= most:
-            break
     return list(found)
 
 

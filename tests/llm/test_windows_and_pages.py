@@ -24,6 +24,15 @@ def test_plan_packs_every_item_once(hist):
     assert packed == Counter(hist)
 
 
+def test_patterns_reach_all_lengths():
+    hist = {s: 1 + (s % 7) for s in range(1, 2049)}
+    found = packing.candidate_patterns(hist, 2048)
+    assert {(a, 2048 - a) for a in range(1024, 2048)} <= set(found)
+    often = [s for s, _ in Counter(hist).most_common(48)]
+    thirds = {tuple(sorted((a, m, 2048 - a - m), reverse=True)) for a in hist for m in often if a + m < 2048}
+    assert thirds <= set(found)
+
+
 def test_plan_is_tight():
     rng = random.Random(1)
     hist = Counter(min(2048, max(1, int(rng.lognormvariate(5.7, 0.8)))) for _ in range(20000))
