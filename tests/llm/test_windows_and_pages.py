@@ -158,10 +158,13 @@ LINE = "Cheap canal boats for hire near Wigan and many more offers every day"
 MORE_PAGES = {
     "line": "\n".join([LINE] * 100),
     "long phrase": " ".join(f"{a} the {b} of {c} big cheap canal boats near Wigan {d} and it was {e}." for a, b, c, d, e in zip(*(iter([f"w{i}" for i in range(60)]),) * 5)),
+    "articles": "\n".join(f"{1042 + i} | large{i} copper{i} kettle{i} | {39 + i} EUR" for i in range(12)),
+    "prices": "\n".join(f"{1042 + i} | 39 EUR | kettle" for i in range(12)),
     "parted": "boats for a canal, hire of a boat, tour to a dock, tea at a lock, ale at an inn, trip by a boat, sail on a sea, dock in a town",
 }
 MORE_FINE = {
     "openings": "\n".join(f"At the end of the summer {a} closed the {b} for {i} days." for i, (a, b) in enumerate(zip(["Ann", "Bob", "Cid", "Dan", "Eve"], ["mill", "quay", "lock", "barn", "dock"]))),
+    "figures": PROSE * 3 + "\n" + "\n".join(f"{1900 + i} | {i}7.5 panels | late" for i in range(8)),
     "tabs": PROSE.replace(" ", "\t") * 2,
     "pasted": "\n".join(f"The lock {x} was {y} by the clerk of {z} in the year after." for x, y, z in zip("abcdefgh", ["dug", "cut", "shut", "sold", "won", "hid", "lost", "kept"], "stuvwxyz")) + "\n",
 }
@@ -170,7 +173,7 @@ MORE_FINE = {
 @pytest.mark.parametrize("name", MORE_PAGES)
 def test_spam_by_lines_separators_and_long_phrases(name):
     page = spam.measure(MORE_PAGES[name])
-    assert page.spam and page.list_share <= spam.LIST_SHARE
+    assert page.spam and (page.list_share > spam.LIST_SHARE) == (name in ("articles", "prices"))
 
 
 @pytest.mark.parametrize("name", MORE_FINE)
