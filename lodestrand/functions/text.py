@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from lodestrand.functions import vocab
 
 
+#: A letter, digit or underscore of any script, and the two ends of a word.
+_W = r"[\p{L}\p{N}_]"
+BEGINS, ENDS = rf"(?<!{_W})", rf"(?!{_W})"
+
+
 def lit_list(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -66,6 +71,15 @@ def risk(c: Column) -> Column:
     return F.least(F.lit(1.0), F.size(injections(c)) * 0.25)
 
 
+def injection_report(c: Column) -> Column:
+    """(suspicious, risk, patterns) of one pass over the patterns."""
+
+    def told(hits: Column) -> Column:
+        return F.struct((F.size(hits) > 0).alias("suspicious"), F.least(F.lit(1.0), F.size(hits) * 0.25).alias("risk"), hits.alias("patterns"))
+
+    return let(injections(c), told)
+
+
 def safe_lines(c: Column) -> Column:
     """Nothing of a suspicious text, else its lines that aren't suspicious by themselves."""
     lines = F.filter(F.split(c, r"\R"), lambda x: ~suspicious(x))
@@ -98,7 +112,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def normalize_answer(c: Column) -> Column:
-    low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\b(a|an|the)\b", " ")
+    low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"{BEGINS}(a|an|the){ENDS}", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)[^a-z0-9\s]", " "), r"(?U)\s+", " "))
 
 
@@ -172,21 +186,21 @@ def has_text(c: Column, parts: list[str]) -> Column:
     return F.exists(lit_list(parts), lambda p: c.contains(p))
 
 
-_CAPITAL = r"(?U)\b[A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){0,4}\b"
+_CAPITAL = r"[A-Z][a-zA-Z0-9]+"
 
 
 def entity_spans(c: Column) -> Column:
     """Capitalised spans of up to five words and numbers of 3 or 4 digits, without question words, the first five."""
-    spans = F.regexp_extract_all(c, F.lit(r"(?U)\b(?:[A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){0,4}|\d{3,4})\b"), F.lit(0))
+    spans = F.regexp_extract_all(c, F.lit(rf"(?U){BEGINS}(?:{_CAPITAL}(?:\s+{_CAPITAL}){{0,4}}|\d{{3,4}}){ENDS}"), F.lit(0))
     asked = lit_list("what when where which who why how".split())
     return F.slice(F.array_distinct(F.filter(spans, lambda s: ~F.array_contains(asked, F.lower(s)))), 1, 5)
 
 
 def fact_markers(c: Column) -> Column:
     """Numbers and capitalised spans that a context should bear out, by length and then by lower-cased text."""
-    numbers = F.regexp_extract_all(c, F.lit(r"(?U)\b\d{1,4}(?:[.,:]\d+)?%?\b"), F.lit(0))
-    word = r"(?:[A-Z][a-zA-Z0-9]+|[A-Z]{2,})"
-    spans = F.regexp_extract_all(c, F.lit(rf"(?U)\b{word}(?:\s+{word}){{0,4}}\b"), F.lit(0))
+    numbers = F.regexp_extract_all(c, F.lit(rf"(?U){BEGINS}\d{{1,4}}(?:[.,:]\d+)?(?:%(?={_W})|{ENDS})"), F.lit(0))
+    word = rf"(?:{_CAPITAL}|[A-Z]{{2,}})"
+    spans = F.regexp_extract_all(c, F.lit(rf"(?U){BEGINS}{word}(?:\s+{word}){{0,4}}{ENDS}"), F.lit(0))
     filler = lit_list(vocab.MARKER_FILLER)
     names = F.transform(spans, lambda s: F.array_join(F.filter(F.split(s, r"(?U)\s+"), lambda w: ~F.array_contains(filler, w)), " "))
     names = F.filter(names, lambda s: (s != "") & ~F.array_contains(lit_list(vocab.STOP_WORDS), F.lower(s)))
@@ -198,7 +212,7 @@ def evidence_sentences(c: Column) -> Column:
     """Sentences of the safe lines: broken after . ! ? before a capital or digit, three characters at least."""
 
     def cut(safe: Column) -> Column:
-        parts = F.flatten(F.transform(F.split(safe, "\n+"), lambda b: F.split(strip(b), r"(?<=[.!?])\s+(?=[A-Z0-9])")))
+        parts = F.flatten(F.transform(F.split(safe, "\n+"), lambda b: F.split(strip(b), r"(?U)(?<=[.!?])\s+(?=[A-Z0-9])")))
         kept = F.filter(F.transform(parts, strip), lambda p: F.length(p) >= 3)
         return F.when(safe == "", F.array().cast("array<string>")).otherwise(let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(safe))))
 
@@ -207,13 +221,13 @@ def evidence_sentences(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences for grounding: broken after . ! ? and at line breaks."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), strip), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+|\n+"), strip), lambda p: p != "")
 
 
 def coverage_bonus(query: Column, q: Column, sentence: Column, s: Column) -> Column:
     """Reward for query words, numbers and capitalised terms that a sentence covers, 0.25 at most."""
-    number = r"(?U)\b\d{2,4}\b"
-    terms = F.regexp_extract_all(query, F.lit(r"(?U)\b[A-Z][a-zA-Z0-9]+\b"), F.lit(0))
+    number = rf"(?U){BEGINS}\d{{2,4}}{ENDS}"
+    terms = F.regexp_extract_all(query, F.lit(rf"{BEGINS}{_CAPITAL}{ENDS}"), F.lit(0))
     hits = F.size(F.filter(terms, lambda t: F.lower(sentence).contains(F.lower(t))))
     part = F.size(F.array_intersect(q, s)) / F.size(F.array_distinct(q)) * 0.15
     part = part + F.when(query.rlike(number) & sentence.rlike(number), 0.10).otherwise(0.0) + F.least(F.lit(0.15), hits * 0.05)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import vocab
-from lodestrand.operators.dense import usable
+from lodestrand.operators.dense import Embedder, embedding_identity, hash_embedding, usable
+from lodestrand.session import stage
 
 
 def in_force(entries: DataFrame) -> DataFrame:
@@ -29,6 +30,22 @@ def merge(disk: DataFrame, memory: DataFrame) -> DataFrame:
     return kept.join(memory, ["cache_identity", "text_hash"], "left_anti").unionByName(memory)
 
 
+def embedded(texts: DataFrame, cache: DataFrame, embed: Embedder = hash_embedding, refresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vectors, cache): ``vec`` for each of ``texts`` (key, text), out of the cache in force where it holds the text's
+    hash under the embedder's identity with a usable vector, else made; and the cache with what was made. An embedder
+    whose dimension has changed replaces all entries of its identity. ``refresh`` makes all anew."""
+    identity = embedding_identity(embed)
+    hashed = texts.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    held = cache.where(usable(F.col("vec"), F.col("dim")))
+    hits, misses = lookup(hashed, held.where(F.lit(not refresh)), identity)
+    top = F.coalesce(F.lit(cache.agg(F.max("seq")).first()[0]), F.lit(0))
+    once = misses.groupBy("text_hash").agg(F.min("text").alias("text"))
+    made = stage(embed(once, ["text_hash"], "text"), "made-vectors")
+    entries = made.select(F.lit(identity).alias("cache_identity"), "text_hash", top.alias("seq"), F.size("vec").alias("dim"), "vec")
+    vectors = hits.select("key", "vec").unionByName(misses.join(made, "text_hash").select("key", "vec"))
+    return vectors, merge(held.select(entries.columns), entries)
+
+
 def evict(cache: DataFrame, most: int = vocab.CACHE_VECTORS) -> DataFrame:
     """The ``most`` last inserted entries of each identity, the oldest going first.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,10 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as T
 from lodestrand.functions import vocab
 from lodestrand.operators.sparse import top_k
+from lodestrand.session import stage
 
-#: Query vectors are sent to the corpus in blocks of so many bytes at most.
+#: Query vectors are sent to the corpus in blocks of about so many bytes.
 BLOCK_BYTES = 32 << 20
-MOST_BLOCKS = 1024
 QUERY_ROWS = 512
 
 
@@ -42,7 +44,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def hash_embedding(docs: DataFrame, keys: list[str], text: str = "content", dims: int = vocab.HASH_DIMS) -> DataFrame:
     """(keys..., vec): every run of the text adds 1 or -1, by the fifth byte of its SHA-256, to the element its first
-    four bytes name; then unit length. Worked out within the row, so nothing is shuffled."""
+    four bytes name; then unit length. The hashes are taken in the JVM, Arrow batches of the signed places are summed;
+    nothing is shuffled."""
 
     def signed(w: Column) -> Column:
         def place(h: Column) -> Column:
@@ -51,38 +54,67 @@ def hash_embedding(docs: DataFrame, keys: list[str], text: str = "content", dims
 
         return T.let(F.sha2(w, 256), place)
 
-    def sums(places: Column) -> Column:
-        def count(i: Column) -> Column:
-            return F.size(F.filter(places, lambda x: x == i))
-
-        return F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: (count(i) - count(-i)).cast("double"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("vec")
+            at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.bincount(at * dims + np.abs(place) - 1, np.sign(place), len(lists) * dims).reshape(len(lists), dims)
+            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            unit = sums / np.where(norm > 0, norm, 1.0)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dims), pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], vec], [*keys, "vec"])
 
     words = F.transform(T.runs(F.coalesce(F.col(text), F.lit(""))), signed)
-    return docs.select(*keys, T.let(T.let(words, sums), l2_normalize).alias("vec"))
+    rows = docs.select(*keys, words.alias("vec"))
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.mapInArrow(add, ", ".join([*kinds, "vec array<double>"]))
+
+
+#: Adds ``vec`` to (keys..., text): DataFrame, keys, name of the text -> (keys..., vec), unit vectors of one dimension.
+Embedder = Callable[[DataFrame, list[str], str], DataFrame]
+
+
+def embedding_identity(embed: Embedder) -> str:
+    """The name that an embedder's vectors are cached under: its own ``cache_identity``, or a hash of what it is."""
+    if own := getattr(embed, "cache_identity", None):
+        return str(own)
+    details = {"class": f"{embed.__module__}.{embed.__qualname__}" if hasattr(embed, "__qualname__") else type(embed).__qualname__}
+    details |= {k: getattr(embed, k, None) for k in ("model", "dimensions", "revision", "normalized")}
+    return hashlib.sha256(json.dumps(details, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()
+
+
+hash_embedding.cache_identity = f"hash-{vocab.HASH_DIMS}"
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, query_keys: list[str], doc_key: str, vec: str = "vec", exclude_self: bool = False) -> DataFrame:
     """(query_keys..., doc_key, score, rank): the ``k`` documents of the highest cosine for each query vector, equal
     ones by ascending key. Both sides hold unit vectors of one dimension; zero queries find nothing.
 
-    Queries go to every partition of the corpus in blocks of a checked size; a partition keeps ``k`` rows for each
-    query of a block, so what is shuffled doesn't grow with a partition's rows. Keys are of type long.
+    Queries go to every partition of the corpus in blocks of about BLOCK_BYTES; a partition keeps ``k`` rows for each
+    query of a block, so what is shuffled doesn't grow with a partition's rows. With more than one block each is worked
+    off and its vectors are dropped before the next is sent; ``docs`` should be a staged table then. Keys are of type long.
     """
     if k <= 0:
         return top_k(queries.select(*query_keys).crossJoin(docs.select(doc_key)).withColumn("score", F.lit(0.0)).where("false"), 0, query_keys, doc_key)
     asked = queries.where(nonzero(F.col(vec))).select(*[F.col(c).cast("long") for c in query_keys], F.transform(F.col(vec), lambda x: x.cast("double")).alias("v"))
     size = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("n")).first()["n"] * 8
     blocks = max(1, -(-size // BLOCK_BYTES))
+    if blocks > 1:
+        asked = stage(asked, "query-vectors")
     fields = ", ".join([f"{c} long" for c in query_keys] + [f"{doc_key} long", "score double"])
     rows = docs.select(F.col(doc_key).cast("long").alias(doc_key), F.transform(F.col(vec), lambda x: x.cast("double")).alias("v"))
     found = None
-    for i in range(min(blocks, MOST_BLOCKS)):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(*query_keys), F.lit(min(blocks, MOST_BLOCKS))) == i)
+    for i in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(*query_keys), F.lit(blocks)) == i)
         got = part.toArrow()
         ids = np.stack([got.column(c).to_numpy() for c in query_keys], 1) if got.num_rows else np.zeros((0, len(query_keys)), np.int64)
         q = np.array(got.column("v").to_pylist(), dtype=float).reshape(len(ids), -1)
         shared = queries.sparkSession.sparkContext.broadcast((ids, q))
         one = rows.mapInArrow(_scan(shared, k, query_keys, doc_key, exclude_self), fields)
+        if blocks > 1:
+            one = stage(top_k(one, k, query_keys, doc_key).drop("rank"), "nearest")
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
     return top_k(found, k, query_keys, doc_key)
 

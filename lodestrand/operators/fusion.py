@@ -9,16 +9,23 @@ from lodestrand.functions import text as T
 from lodestrand.functions import vocab
 
 
-def reciprocal_rank(lists: DataFrame, keys: list[str], item: list[str], limit: int | None = None, k: int = vocab.RRF_K) -> DataFrame:
+def reciprocal_rank(lists: DataFrame, keys: list[str], item: list[str], limit: int | None = None, k: int = vocab.RRF_K, carry: list[str] | None = None) -> DataFrame:
     """Fuses ``lists`` (keys..., list_no, rank, item...): the sum of 1 / (k + rank) over all of an item's places, equal
-    sums in order of first arrival. No limit, or 0, keeps every item. (keys..., item..., score, rank)"""
-    first = F.min(F.col("list_no").cast("long") * (1 << 32) + F.col("rank")).alias("first_seen")
-    sums = lists.groupBy(*keys, *item).agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("score"), first)
+    sums in order of first arrival. No limit, or 0, keeps every item. (keys..., item..., carry..., score, rank); the
+    ``carry`` columns are those of the item's first arrival."""
+    seen = F.col("list_no").cast("long") * (1 << 32) + F.col("rank")
+    first = [F.min_by(c, seen).alias(c) for c in carry or []]
+    sums = lists.groupBy(*keys, *item).agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("score"), F.min(seen).alias("first_seen"), *first)
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "first_seen")
     ranked = sums.withColumn("rank", F.row_number().over(order)).drop("first_seen")
     return ranked.where(F.col("rank") <= limit) if limit else ranked
 
 
+def document_key(content: Column, origin: Column) -> Column:
+    """What makes two retrieved texts the same document: the content without outer white space, and where it is from."""
+    return F.md5(F.concat(T.strip(content), F.lit("\0"), F.coalesce(origin, F.lit(""))))
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, in order."""
     at = Window.partitionBy(*keys).orderBy(*order)

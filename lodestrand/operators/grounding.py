@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
@@ -26,6 +28,32 @@ def extractive_answer(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, answer.alias("answer"))
 
 
+def prompt(template: str, query: Column, context: Column | None = None) -> Column:
+    """A template with the query, and the context where it has a place for one, put in; braces in these stay."""
+    parts: list[Column] = []
+    for i, piece in enumerate(re.split(r"\{(query|context)\}", template)):
+        parts.append(F.lit(piece) if i % 2 == 0 else query if piece == "query" else context)
+    return F.concat(*parts)
+
+
+#: Names of one count in the replies of different providers, the first that is a number from 0 on holds.
+TOKEN_KEYS = {"input_tokens": ["input_tokens", "prompt_tokens"], "output_tokens": ["output_tokens", "completion_tokens"], "total_tokens": ["total_tokens"]}
+
+
+def token_usage(usage: Column) -> Column:
+    """(input_tokens, output_tokens, total_tokens) of a map of reported counts; a total that is missing or 0 is the sum."""
+
+    def first(keys: list[str]) -> Column:
+        found = [F.when(F.try_element_at(usage, F.lit(k)) >= 0, F.try_element_at(usage, F.lit(k))) for k in keys]
+        return F.coalesce(*found, F.lit(0.0)).cast("long")
+
+    def counted(n: Column) -> Column:
+        total = F.when(n["total"] > 0, n["total"]).otherwise(n["input"] + n["output"])
+        return F.struct(n["input"].alias("input_tokens"), n["output"].alias("output_tokens"), total.alias("total_tokens"))
+
+    return T.let(F.struct(first(TOKEN_KEYS["input_tokens"]).alias("input"), first(TOKEN_KEYS["output_tokens"]).alias("output"), first(TOKEN_KEYS["total_tokens"]).alias("total")), counted)
+
+
 def support(answer: Column, contexts: Column, least_recall: float = 0.60) -> Column:
     """The report on an answer against an array of contexts: status, is_supported, support_score, token_recall,
     markers, unsupported and the numbers of the supporting contexts (five at most)."""

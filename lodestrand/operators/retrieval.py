@@ -1,10 +1,11 @@
-"""Hybrid retrieval of many queries at once: dense and sparse lists, fusion, diversity, quarantine, backfill, retry."""
+"""Hybrid retrieval of many queries at once: dense and sparse lists, fusion, diversity, quarantine, backfill, quality."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
@@ -12,105 +13,200 @@ from lodestrand.functions import vocab
 from lodestrand.operators import dense, fusion, sparse
 from lodestrand.session import stage
 
+ALL = 1 << 30
+SHOWN = ["unit", "key", "content", "label", "origin", "doc_id", "bad"]
+
+
+def with_keys(units: DataFrame) -> DataFrame:
+    """Adds ``bad`` (suspicious), the ``origin`` where missing, and the ``key`` by which equal texts of one origin meet."""
+    if "origin" not in units.columns:
+        units = units.withColumn("origin", F.col("label"))
+    return units.withColumn("bad", T.suspicious(F.col("content"))).withColumn("key", fusion.document_key(F.col("content"), F.col("origin")))
+
 
 @dataclass
 class Index:
-    """Units of text to search (unit, content, label, doc_id), their postings and unit vectors, written once."""
+    """Units of text that all queries search (unit, content, label, doc_id ...), their postings and unit vectors, each
+    written once. ``embed`` makes the vectors of units and of queries."""
 
     units: DataFrame
     posts: DataFrame
     vectors: DataFrame
+    embed: dense.Embedder = dense.hash_embedding
 
     @staticmethod
-    def build(units: DataFrame) -> "Index":
-        units = stage(units.withColumn("bad", T.suspicious(F.col("content"))), "units")
+    def build(units: DataFrame, embed: dense.Embedder = dense.hash_embedding) -> Index:
+        units = stage(with_keys(units), "units")
         posts = stage(sparse.postings(units, "unit", "content"), "unit-postings")
-        vectors = stage(dense.hash_embedding(units, ["unit"], "content"), "unit-vectors")
-        return Index(units, posts, vectors)
+        return Index(units, posts, stage(embed(units, ["unit"], "content"), "unit-vectors"), embed)
 
     def count(self) -> int:
         return self.units.count()
 
+    def sized(self, queries: DataFrame) -> DataFrame:
+        return queries.withColumn("n", F.lit(self.count()).cast("long"))
+
+    def lists(self, asked: DataFrame) -> DataFrame:
+        """(query_id, variant_no, kind, unit, rank) of (query_id, variant_no, variant, pool): kind 0 is the dense list
+        as the vectors rank it, kind 1 the sparse one, each cut at the query's ``pool``."""
+        keys = ["query_id", "variant_no"]
+        most = asked.agg(F.max("pool")).first()[0] or 0
+        pools = asked.select(*keys, "pool")
+        near = dense.search(self.embed(asked, keys, "variant"), self.vectors, most, keys, "unit").withColumn("kind", F.lit(0))
+        found = sparse.search(asked.select(*keys, F.col("variant").alias("query")), self.units, most, keys, "unit", "content", self.posts)
+        both = near.unionByName(found.withColumn("kind", F.lit(1))).join(pools, keys)
+        return both.where(F.col("rank") <= F.col("pool")).select(*keys, "kind", "unit", "rank")
+
+    def shown(self, picks: DataFrame) -> DataFrame:
+        return picks.join(self.units.select(*SHOWN), "unit")
+
+
+@dataclass
+class OwnUnits:
+    """Units of each query's own (query_id, unit, content ...), searched by that query alone and by their own statistics.
+    A query's units are as few as the chunks of the parents it selected."""
+
+    units: DataFrame
+    posts: DataFrame
+    vectors: DataFrame
+    embed: dense.Embedder = dense.hash_embedding
+
+    @staticmethod
+    def build(units: DataFrame, embed: dense.Embedder = dense.hash_embedding) -> OwnUnits:
+        units = stage(with_keys(units), "own-units")
+        toks = units.select("query_id", "unit", T.tokens(F.col("content")).alias("toks"))
+        terms = toks.select("query_id", "unit", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
+        posts = stage(terms.groupBy("query_id", "unit", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "own-postings")
+        return OwnUnits(units, posts, stage(embed(units, ["query_id", "unit"], "content"), "own-vectors"), embed)
+
+    def sized(self, queries: DataFrame) -> DataFrame:
+        """A query without a unit isn't searched and has no row."""
+        return queries.join(self.units.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+
+    def lists(self, asked: DataFrame) -> DataFrame:
+        keys = ["query_id", "variant_no"]
+        pools = asked.select(*keys, "pool")
+        qv = self.embed(asked, keys, "variant").withColumnRenamed("vec", "qv").where(dense.nonzero(F.col("qv")))
+        near = qv.join(self.vectors, "query_id").select(*keys, "unit", dense.dot(F.col("qv"), F.col("vec")).alias("score"))
+        near = sparse.top_k(near, ALL, keys, "unit").withColumn("kind", F.lit(0))
+        df = self.posts.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+        sizes = self.units.groupBy("query_id").agg(F.count("*").cast("double").alias("n"))
+        totals = self.posts.groupBy("query_id").agg(F.sum("tf").alias("t"))
+        stats = sizes.join(totals, "query_id").select("query_id", "n", (F.col("t") / F.col("n")).alias("avg_len"))
+        weighed = self.posts.join(df, ["query_id", "term"]).join(stats, "query_id").select("query_id", "term", "unit", sparse.bm25(F.col("n"), F.col("avg_len")).alias("weight"))
+        terms = sparse.query_terms(asked.select(*keys, F.col("variant").alias("query")), keys)
+        sums = terms.join(weighed, ["query_id", "term"]).groupBy(*keys, "unit").agg(F.sum(F.col("q_tf") * F.col("weight")).alias("score"))
+        found = sparse.top_k(sums.where("score > 0"), ALL, keys, "unit").withColumn("kind", F.lit(1))
+        both = near.unionByName(found).join(pools, keys)
+        return both.where(F.col("rank") <= F.col("pool")).select(*keys, "kind", "unit", "rank")
+
+    def shown(self, picks: DataFrame) -> DataFrame:
+        return picks.join(self.units.select("query_id", *SHOWN), ["query_id", "unit"])
+
+
+_prepared: OrderedDict[tuple, Index] = OrderedDict()
+
+
+def prepared(key: tuple, build, most: int = vocab.INDEX_CACHE) -> Index:
+    """The index under ``key`` (the corpus' fingerprint, the sizes of its units and the embedder), built where it isn't
+    known; the ``most`` last used ones are kept. Its tables stay until the process ends."""
+    if key not in _prepared:
+        _prepared[key] = build()
+    _prepared.move_to_end(key)
+    while len(_prepared) > most:
+        _prepared.popitem(last=False)
+    return _prepared[key]
+
+
+def relevance(rows: DataFrame, query: str = "query") -> DataFrame:
+    """Adds ``relevance`` to the query to rows with ``toks`` and ``risk``."""
+    return rows.withColumn("relevance", T.let(T.tokens(F.col(query)), lambda q: T.relevance(q, F.col("toks"), F.col("risk"))))
+
 
 def with_relevance(rows: DataFrame) -> DataFrame:
     """Adds ``toks`` of the content and ``relevance`` to the query."""
-    return rows.withColumn("toks", T.tokens(F.col("content"))).withColumn("relevance", T.relevance(T.tokens(F.col("query")), F.col("toks"), T.risk(F.col("content"))))
+    return relevance(rows.withColumn("toks", T.tokens(F.col("content"))).withColumn("risk", T.risk(F.col("content")))).drop("risk")
+
 
+def candidates(asked: DataFrame, corpus: Index | OwnUnits) -> DataFrame:
+    """The pool of every query: (query_id, rank, score, toks, risk and the units' columns), the lists of its variants
+    fused by content and origin and cut at its ``pool``. ``asked`` has (query_id, variant_no, variant, pool).
 
-def ranked_lists(asked: DataFrame, index: Index, most: int) -> DataFrame:
-    """(query_id, list_no, unit, rank): for every (query_id, variant_no, variant, pool) the dense list, reranked by
-    words, and the sparse one, each cut at the query's ``pool``; ``most`` is the largest pool."""
+    What the lists name is fetched from the units once; the dense lists are reranked by words before they are fused."""
+    lists = stage(corpus.lists(asked), "lists")
+    found = corpus.shown(lists.select("query_id", "unit").distinct())
+    found = stage(found.withColumn("toks", T.tokens(F.col("content"))).withColumn("risk", T.risk(F.col("content"))), "found")
     keys = ["query_id", "variant_no"]
-    pools = asked.select(*keys, F.col("variant").alias("query"), "pool")
-    vec = dense.hash_embedding(asked, keys, "variant")
-    near = dense.search(vec, index.vectors, most, keys, "unit").join(pools, keys).where(F.col("rank") <= F.col("pool"))
-    near = with_relevance(near.join(index.units.select("unit", "content"), "unit"))
-    near = dense.rerank(near, keys, "unit").select(*keys, "unit", "rank", F.lit(0).alias("kind"))
-    found = sparse.search(pools.select(*keys, "query"), index.units, most, keys, "unit", "content", index.posts)
-    found = found.join(pools.select(*keys, "pool"), keys).where(F.col("rank") <= F.col("pool")).select(*keys, "unit", "rank", F.lit(1).alias("kind"))
-    return near.unionByName(found).select("query_id", (F.col("variant_no") * 2 + F.col("kind")).alias("list_no"), "unit", "rank")
-
-
-def fused(asked: DataFrame, index: Index, most: int) -> DataFrame:
-    """(query_id, unit, score, rank): the lists of a query's variants fused and cut at its pool."""
-    lists = ranked_lists(asked, index, most)
+    near = lists.where("kind = 0").join(found.select("query_id", "unit", "toks", "risk"), ["query_id", "unit"])
+    near = relevance(near.join(asked.select(*keys, "variant"), keys), "variant")
+    near = dense.rerank(near, keys, "unit").select(*keys, "kind", "unit", "rank")
+    both = near.unionByName(lists.where("kind = 1").select(*keys, "kind", "unit", "rank"))
+    both = both.join(found.select("query_id", "unit", "key"), ["query_id", "unit"])
+    both = both.select("query_id", (F.col("variant_no") * 2 + F.col("kind")).alias("list_no"), "key", "unit", "rank")
+    fused = fusion.reciprocal_rank(both, ["query_id"], ["key"], carry=["unit"]).drop("key")
     pools = asked.groupBy("query_id").agg(F.max("pool").alias("pool"))
-    ranked = fusion.reciprocal_rank(lists, ["query_id"], ["unit"])
-    return ranked.join(pools, "query_id").where(F.col("rank") <= F.col("pool")).drop("pool")
-
-
-def hybrid(queries: DataFrame, variants: DataFrame, index: Index, k: str) -> DataFrame:
-    """(query_id, unit, content, label, doc_id, bad, pick_no, relevance): the ``k`` diverse units of each query.
-    ``queries`` has (query_id, query, k), ``variants`` (query_id, variant_no, variant)."""
-    n = index.count()
-    pool = F.greatest(F.col(k), F.least(F.col(k) * 2, F.lit(n)))
-    asked = stage(variants.join(queries.select("query_id", pool.cast("int").alias("pool")), "query_id"), "asked")
-    most = asked.agg(F.max("pool")).first()[0] or 0
-    ranked = fused(asked, index, most)
-    rows = ranked.join(index.units, "unit").join(queries.select("query_id", "query", F.col(k).alias("k")), "query_id")
-    rows = with_relevance(rows).select("query_id", "k", "rank", "relevance", "toks", "unit", "content", "label", "doc_id", "bad")
+    return fused.join(pools, "query_id").where(F.col("rank") <= F.col("pool")).drop("pool").join(found, ["query_id", "unit"])
+
+
+def hybrid(queries: DataFrame, variants: DataFrame, corpus: Index | OwnUnits, k: str = "k") -> DataFrame:
+    """(query_id, pick_no, relevance and the units' columns): the ``k`` diverse units of each query. ``queries`` has
+    (query_id, query, k), ``variants`` (query_id, variant_no, variant)."""
+    sized = corpus.sized(queries.select("query_id", "query", F.col(k).alias("k")))
+    pool = F.greatest(F.col("k"), F.least(F.col("k") * 2, F.col("n")))
+    asked = stage(variants.join(sized.select("query_id", pool.cast("int").alias("pool")), "query_id"), "asked")
+    rows = relevance(candidates(asked, corpus).join(queries.select("query_id", "query", F.col(k).alias("k")), "query_id"))
+    rows = rows.select("query_id", "k", "rank", "relevance", "toks", *SHOWN)
     return fusion.diverse(rows, ["query_id"], F.col("k")).drop("k", "toks", "rank")
 
 
-def safe_with_backfill(queries: DataFrame, variants: DataFrame, index: Index, k: str = "k") -> tuple[DataFrame, DataFrame]:
+def safe_with_backfill(queries: DataFrame, variants: DataFrame, corpus: Index | OwnUnits, k: str = "k") -> tuple[DataFrame, DataFrame]:
     """(documents, counts): units that aren't suspicious, ``k`` a query. A query left with fewer, of a corpus that has
     more, is searched again with a wider pool, which is ranked afresh; what both searches found is joined in order of
-    arrival. ``counts`` has (query_id, quarantined, searches)."""
-    n = index.count()
-    first = stage(hybrid(queries, variants, index, k), "first-search")
-    seen = queries.select("query_id", F.col(k).alias("k")).join(
-        first.groupBy("query_id").agg(F.count_if(~F.col("bad")).alias("safe"), F.count("*").alias("raw")), "query_id", "left"
-    ).select("query_id", "k", F.coalesce("safe", F.lit(0)).alias("safe"), F.coalesce("raw", F.lit(0)).alias("raw"))
-    short = stage(seen.where((F.col("safe") < F.col("k")) & (F.lit(n) > F.col("raw"))).select("query_id"), "short-of-safe")
+    arrival, a content once. ``counts`` has (query_id, quarantined, searches): the suspicious contents seen and 1 or 2."""
+    asked = queries.select("query_id", "query", F.col(k).alias("k"))
+    first = stage(hybrid(asked, variants, corpus), "first-search")
+    got = first.groupBy("query_id").agg(F.count_if(~F.col("bad")).alias("safe"), F.count("*").alias("raw"))
+    seen = corpus.sized(asked).join(got, "query_id", "left")
+    short = seen.where((F.coalesce("safe", F.lit(0)) < F.col("k")) & (F.col("n") > F.coalesce("raw", F.lit(0))))
+    wide = F.least(F.col("n"), F.greatest(F.col("k") * 4, F.col("k") + 8)).cast("int")
+    short = stage(short.select("query_id", "query", wide.alias("k")), "short-of-safe")
     both = first.withColumn("search", F.lit(1))
     if not short.isEmpty():
-        wide = F.least(F.lit(n), F.greatest(F.col("k") * 4, F.col("k") + 8)).cast("int")
-        again = queries.join(short, "query_id").select("query_id", "query", wide.alias("k"))
-        both = both.unionByName(hybrid(again, variants.join(short, "query_id"), index, "k").withColumn("search", F.lit(2)))
-    once = fusion.first_of(both.withColumn("at", F.col("search") * 1_000_000 + F.col("pick_no")), ["query_id", "content"], ["at"])
+        again = hybrid(short, variants.join(short.select("query_id"), "query_id"), corpus)
+        both = both.unionByName(again.withColumn("search", F.lit(2)))
+    flagged = both.join(short.select("query_id", F.lit(True).alias("twice")), "query_id", "left")
+    same = F.when(F.col("twice"), F.col("content")).otherwise(F.col("unit").cast("string"))  # one search keeps equal contents
+    once = fusion.first_of(flagged.withColumn("same", same), ["query_id", "same"], ["search", "pick_no"]).drop("same", "twice")
     once = stage(once, "both-searches")
-    counts = seen.select("query_id").join(once.groupBy("query_id").agg(F.count_if("bad").alias("quarantined")), "query_id", "left")
-    counts = counts.join(short.withColumn("searches", F.lit(2)), "query_id", "left")
+    bad = once.where("bad").groupBy("query_id").agg(F.countDistinct("content").alias("quarantined"))
+    counts = asked.select("query_id").join(bad, "query_id", "left")
+    counts = counts.join(short.select("query_id").withColumn("searches", F.lit(2)), "query_id", "left")
     counts = counts.select("query_id", F.coalesce("quarantined", F.lit(0)).alias("quarantined"), F.coalesce("searches", F.lit(1)).alias("searches"))
-    safe = once.where(~F.col("bad")).withColumn("score", -F.col("at"))
-    kept = sparse.top_k(safe, 1 << 30, ["query_id"], "unit").join(queries.select("query_id", F.col(k).alias("k")), "query_id").where(F.col("rank") <= F.col("k"))
-    return kept.select("query_id", "rank", "unit", "content", "label", "doc_id", "relevance"), counts
-
-
-def quality(queries: DataFrame, docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(query_id, status, max_relevance, avg_relevance, suspicious, duplicate_rate) of every query's documents
-    (query_id, rank, content, relevance)."""
-    toks = docs.withColumn("toks", T.tokens(F.col("content")))
-    sums = docs.groupBy("query_id").agg(F.count("*").alias("n"), F.max("relevance").alias("top"), F.avg("relevance").alias("mean"), F.count_if(T.suspicious(F.col("content"))).alias("bad"))
+    order = Window.partitionBy("query_id").orderBy("search", "pick_no")
+    kept = once.where(~F.col("bad")).withColumn("rank", F.row_number().over(order)).join(asked.select("query_id", "k"), "query_id")
+    return kept.where(F.col("rank") <= F.col("k")).select("query_id", "rank", "unit", "content", "label", "origin", "doc_id", "relevance"), counts
+
+
+def quality(queries: DataFrame, docs: DataFrame, counts: DataFrame | None = None, weak: bool = True) -> DataFrame:
+    """(query_id, status, max_relevance, avg_relevance, suspicious, quarantined, duplicate_rate, scores) of every query's
+    documents (query_id, rank, content, relevance), ``scores`` being their relevance in order of rank. ``counts`` has the
+    suspicious contents that were left out before; without ``weak`` a result of little relevance is good too."""
+    toks = docs.select("query_id", "rank", T.tokens(F.col("content")).alias("toks"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "relevance"))), lambda x: x["relevance"])
+    sums = docs.groupBy("query_id").agg(F.count("*").alias("n"), F.max("relevance").alias("top"), F.avg("relevance").alias("mean"), F.count_if(T.suspicious(F.col("content"))).alias("bad"), listed.alias("scores"))
     rows = queries.select("query_id").join(sums, "query_id", "left").join(fusion.duplicate_rate(toks, ["query_id"]), "query_id", "left")
     if counts is not None:
         rows = rows.join(counts.select("query_id", "quarantined"), "query_id", "left")
     else:
         rows = rows.withColumn("quarantined", F.lit(0))
-    bad = (F.coalesce("bad", F.lit(0)) + F.coalesce("quarantined", F.lit(0))).cast("long")
+    left_out = F.coalesce("quarantined", F.lit(0)).cast("long")
+    bad = (F.coalesce("bad", F.lit(0)) + left_out).cast("long")
     n, top = F.coalesce("n", F.lit(0)), F.coalesce("top", F.lit(0.0))
     status = (
         F.when((n == 0) & (bad > 0), "suspicious_context_blocked").when(n == 0, "empty").when(bad > 0, "suspicious_context_quarantined")
-        .when(top < vocab.WEAK_RELEVANCE, "weak").otherwise("good")
+        .when(F.lit(weak) & (top < vocab.WEAK_RELEVANCE), "weak").otherwise("good")
+    )
+    return rows.select(
+        "query_id", status.alias("status"), top.alias("max_relevance"), F.coalesce("mean", F.lit(0.0)).alias("avg_relevance"), bad.alias("suspicious"),
+        left_out.alias("quarantined"), F.coalesce("duplicate_rate", F.lit(0.0)).alias("duplicate_rate"), F.coalesce("scores", F.array().cast("array<double>")).alias("scores"),
     )
-    return rows.select("query_id", status.alias("status"), top.alias("max_relevance"), F.coalesce("mean", F.lit(0.0)).alias("avg_relevance"), bad.alias("suspicious"), F.coalesce("duplicate_rate", F.lit(0.0)).alias("duplicate_rate"))

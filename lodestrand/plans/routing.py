@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as T
 from lodestrand.functions import vocab as V
 
+NUMBER = rf"(?U){T.BEGINS}\d{{3,4}}{T.ENDS}"
+
 
 def policy(query: Column) -> Column:
     """What a static corpus can't answer: blocked, reason, is_dynamic, is_high_stakes, is_source_bound, categories."""
@@ -38,7 +40,7 @@ def route_confidence(query: Column) -> Column:
         return q.rlike("^(?:" + "|".join(words) + ")")
 
     soft = (
-        F.lit(0.48) + F.when(q.rlike(r"\b\d{3,4}\b"), 0.12).otherwise(0.0) + F.when(F.length(q) > 100, 0.08).otherwise(0.0)
+        F.lit(0.48) + F.when(q.rlike(NUMBER), 0.12).otherwise(0.0) + F.when(F.length(q) > 100, 0.08).otherwise(0.0)
         + F.when(T.has_text(q, V.COMPARE_WORDS), 0.08).otherwise(0.0) + F.when(begins(V.CAUSE_STARTS), 0.10).otherwise(0.0)
         - F.when(begins(V.EDIT_STARTS), 0.20).otherwise(0.0)
     )
@@ -48,28 +50,34 @@ def route_confidence(query: Column) -> Column:
         .when(T.has_word(q, V.FORCE_WORDS), 0.82).when(T.has_word(q, V.SKIP_WORDS), 0.25).otherwise(soft)
     )
     why = (
-        F.when(q == "", "empty").when(T.has_text(q, V.ROUTER_SOURCE), "source_bound").when(T.has_text(q, V.ROUTER_CURRENT + V.ROUTER_RISKY), "current_or_high_stakes")
-        .when(T.has_word(q, V.FORCE_WORDS), "factual").when(T.has_word(q, V.SKIP_WORDS), "writing_or_opinion").otherwise("heuristic")
+        F.when(q == "", V.ROUTE_REASONS["empty"]).when(T.has_text(q, V.ROUTER_SOURCE), V.ROUTE_REASONS["source"]).when(T.has_text(q, V.ROUTER_CURRENT + V.ROUTER_RISKY), V.ROUTE_REASONS["risky"])
+        .when(T.has_word(q, V.FORCE_WORDS), V.ROUTE_REASONS["factual"]).when(T.has_word(q, V.SKIP_WORDS), V.ROUTE_REASONS["writing"])
+        .otherwise(F.format_string(V.ROUTE_REASONS["words"], soft))
     )
     return F.struct(score.alias("confidence"), why.alias("reason"))
 
 
 def route(query: Column, reply: Column | None = None, offline: bool = True, fallback: bool = True) -> Column:
-    """(needs_retrieval, confidence, source). Clear cases are settled by words; others go to retrieval when offline,
+    """(needs_retrieval, confidence, source, reasoning). Clear cases are settled by words; others go to retrieval when offline,
     else by a model's parsed ``reply`` (from ``parse_reply``), else to retrieval at 0.5 or by the threshold."""
-    score = route_confidence(query)["confidence"]
+    return T.let(route_confidence(query), lambda c: _route(c["confidence"], c["reason"], reply, offline, fallback))
+
+
+def _route(score: Column, why: Column, reply: Column | None, offline: bool, fallback: bool) -> Column:
+    def said(needs: Column, sure: Column, source: str, reason: Column) -> Column:
+        return F.struct(needs.alias("needs_retrieval"), sure.cast("double").alias("confidence"), F.lit(source).alias("source"), reason.alias("reasoning"))
+
     clear = (score <= V.SKIP_AT) | (score >= V.RETRIEVE_AT)
-    heard = reply["decision"].isNotNull() if reply is not None else F.lit(False)
-    decision, sure = (reply["decision"], reply["confidence"]) if reply is not None else (F.lit(True), F.lit(0.5))
     if offline:
-        rest = F.struct(F.lit(True).alias("needs_retrieval"), score.alias("confidence"), F.lit("heuristic_offline").alias("source"))
+        rest = said(F.lit(True), score, "heuristic_offline", F.lit(V.ROUTE_REASONS["offline"]))
     elif fallback:
-        rest = F.struct((score >= V.DECIDE_AT).alias("needs_retrieval"), score.alias("confidence"), F.lit("heuristic").alias("source"))
+        rest = said(score >= V.DECIDE_AT, score, "heuristic", why)
     else:
-        rest = F.struct(F.lit(True).alias("needs_retrieval"), F.lit(0.5).alias("confidence"), F.lit("fallback").alias("source"))
-    by_words = F.struct((score >= V.RETRIEVE_AT).alias("needs_retrieval"), score.alias("confidence"), F.lit("heuristic").alias("source"))
-    by_model = F.struct(decision.alias("needs_retrieval"), sure.alias("confidence"), F.lit("llm").alias("source"))
-    return F.when(clear, by_words).when(heard & F.lit(not offline), by_model).otherwise(rest)
+        rest = said(F.lit(True), F.lit(0.5), "fallback", F.lit(V.ROUTE_REASONS["fallback"]))
+    decided = F.when(clear, said(score >= V.RETRIEVE_AT, score, "heuristic", why))
+    if reply is not None and not offline:
+        decided = decided.when(reply["decision"].isNotNull(), said(reply["decision"], reply["confidence"], "llm", reply["reasoning"]))
+    return decided.otherwise(rest)
 
 
 def parse_reply(reply: Column) -> Column:
@@ -85,7 +93,7 @@ def parse_reply(reply: Column) -> Column:
     numbers = F.filter(F.transform(values("CONFIDENCE"), lambda x: F.regexp_extract(x, r"\d+", 0)), lambda x: x != "")
     sure = F.when(F.size(numbers) > 0, F.least(F.lit(1.0), F.element_at(numbers, -1).cast("double") / 100)).otherwise(0.5)
     reasons = values("REASONING")
-    why = F.when(F.size(reasons) > 0, F.element_at(reasons, -1)).otherwise("")
+    why = F.when(F.size(reasons) > 0, F.element_at(reasons, -1)).otherwise(V.ROUTE_REASONS["parsed"])
     none = F.lit(None)
     return F.struct(F.when(good, F.element_at(said, -1) == "YES").alias("decision"), F.when(good, sure).otherwise(none).alias("confidence"), F.when(good, why).otherwise(none).alias("reasoning"))
 
@@ -114,7 +122,7 @@ def plan(query: Column) -> Column:
     bound = T.has_text(low, V.SOURCE_MARKERS)
     temporal = T.has_text(low, V.TEMPORAL_MARKERS)
     hop = (F.size(_relations(toks)) > 0) | (F.length(q) - F.length(F.replace(q, F.lit("?"))) > 1)
-    points = whole.cast("int") * 2 + hop.cast("int") * 2 + bound.cast("int") + temporal.cast("int") + q.rlike(r"(?U)\b\d{3,4}\b").cast("int") + (F.size(toks) > 18).cast("int")
+    points = whole.cast("int") * 2 + hop.cast("int") * 2 + bound.cast("int") + temporal.cast("int") + q.rlike(NUMBER).cast("int") + (F.size(toks) > 18).cast("int")
     level = F.when(points >= 4, "high").when(points >= 2, "medium").otherwise("low")
     k = F.when(points >= 4, 6).when(points >= 2, 5).otherwise(V.TOP_K)
     bits = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in (("global/corpus-level", whole), ("multi-hop", hop), ("source-bound", bound), ("temporal/dynamic", temporal))]), lambda x: x.isNotNull())

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as T
 from lodestrand.functions import vocab as V
 from lodestrand.operators import evaluation, sparse
-from lodestrand.plans import pipelines
 from lodestrand.queries import sqlparts as P
 from lodestrand.queries.questions import asked
 from lodestrand.queries.records import corpus
 from lodestrand.queries.registry import query
-from lodestrand.queries.searching import _BM25, index
+from lodestrand.queries.searching import _BM25
 from lodestrand.session import stage, table
 from lodestrand.sources import sinks
 
@@ -93,41 +92,6 @@ def hit_rate_text(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.text_hits(asked(spark, d).select("query_id", "answers"), _retrieved(spark, d).select("query_id", "content"))
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
-    questions = asked(spark, d)
-    docs, answers = pipelines.baseline(questions.select("query_id", "query"), index(spark, d, V.CHILD_CHUNK))
-    return evaluation.rows(questions, answers, evaluation.retrieval_scores(_gold(spark, d), docs))
-
-
-@query()
-def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, d)
-
-
-@query()
-def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.summary(stage(_rows(spark, d), "evaluation"))
-
-
-def _both(spark: SparkSession, d: str) -> DataFrame:
-    questions = asked(spark, d)
-    gold = evaluation.retrieval_scores(_gold(spark, d), _retrieved(spark, d))
-    adaptive = pipelines.adaptive_answer(questions.select("query_id", "query"), index(spark, d, V.PARENT_CHUNK))
-    one = _rows(spark, d).withColumn("model", F.lit("baseline"))
-    return one.unionByName(evaluation.rows(questions, adaptive, gold).withColumn("model", F.lit("adaptive")))
-
-
-@query()
-def compare_models(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.comparison(evaluation.summary(stage(_both(spark, d), "evaluation"), ["model"]))
-
-
-@query("SELECT 0::BIGINT AS num_examples, 0::BIGINT AS num_qa_examples, 0.0::DOUBLE AS em, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS hit_rate")
-def empty_summary(spark: SparkSession, d: str) -> DataFrame:
-    none = "query_id long, em boolean, f1 double, retrieval_evaluable boolean, recall_at_k double, reciprocal_rank double, expected_abstention boolean, abstention_success boolean, scored_qa boolean, quality string, grounding string, support_score double"
-    return evaluation.summary(spark.createDataFrame([], none)).select("num_examples", "num_qa_examples", "em", "f1", "hit_rate")
-
-
 @query(
     "SELECT source AS \"Model\", printf('%.4f', round(avg((n_chars > 800)::INT), 6)) AS \"EM\", count(*)::VARCHAR AS \"QA Examples\" FROM documents WHERE source IS NOT NULL GROUP BY 1"
 )
@@ -135,7 +99,4 @@ def comparison_format(spark: SparkSession, d: str) -> DataFrame:
     """The formats of the comparison over shares of long documents by source."""
     share = F.round(F.avg((F.col("n_chars") > 800).cast("double")), 6)
     rows = table(spark, d, "documents").where("source is not null").groupBy("source").agg(share.alias("em"), F.count("*").alias("num_qa_examples"))
-    for _, c, f in sinks.COMPARISON:
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(0.0) if f.endswith("f") else F.lit(0))
     return sinks.comparison(rows, "source").select("Model", "EM", "QA Examples")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.operators.retrieval import Index
+from lodestrand.functions import vocab as V
 from lodestrand.plans import pipelines
-from lodestrand.queries.records import corpus
+from lodestrand.queries.pipes import index
 from lodestrand.queries.registry import query
 from lodestrand.session import shared_dir, table
 from lodestrand.streaming import answers, limits
@@ -20,7 +21,11 @@ def sliding_request_count(spark: SparkSession, d: str) -> DataFrame:
     return limits.sliding_counts(table(spark, d, "events")).select("event_id", "user_id", "recent")
 
 
-@query("SELECT event_id, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 >= 30, true) AS spaced FROM events")
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, coalesce(user_id, -1) AS u, epoch_us(ts) AS t, row_number() OVER (PARTITION BY coalesce(user_id, -1) ORDER BY ts, event_id) AS n FROM events),
+    a AS (SELECT u, n, t FROM e WHERE n = 1 UNION ALL SELECT u, n, t FROM (SELECT e.u, e.n, e.t FROM a JOIN e ON e.u = a.u AND e.n > a.n AND e.t >= a.t + 30000000 QUALIFY row_number() OVER (PARTITION BY e.u ORDER BY e.n) = 1))
+    SELECT event_id, a.n IS NOT NULL AS spaced FROM e LEFT JOIN a USING (u, n)"""
+)
 def min_interval(spark: SparkSession, d: str) -> DataFrame:
     return limits.min_interval(table(spark, d, "events"), 30).select("event_id", "spaced")
 
@@ -38,15 +43,13 @@ def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_answers(spark: SparkSession, d: str) -> DataFrame:
     """The held-out questions as a stream, answered by the baseline in micro-batches."""
-    index = Index.build(pipelines.chunk_units(corpus(spark, d), 512, 80))
+    units = index(spark, d, V.CHILD_CHUNK)
     path = f"{d}/eval_items.parquet"
     schema = spark.read.parquet(path).schema
-    import os
-
     folder, name = os.path.split(path)
     source = path if os.path.isdir(path) else folder
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if source == path else name).parquet(source)
-    out = f"{shared_dir(spark)}/answers-{os.path.basename(tempfile.mkdtemp())}"
+    out = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
     questions = stream.select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
-    answers.answer_stream(questions, index, out + "/rows", out + "/log", pipelines.baseline_answer).awaitTermination()
+    answers.answer_stream(questions, units, out + "/rows", out + "/log", pipelines.baseline_answer).awaitTermination()
     return spark.read.parquet(out + "/rows").drop("batch")

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lodestrand.queries import evaluating, events, questions, records, searching, words  # noqa: E402, F401
+from lodestrand.queries import evaluating, events, pipes, questions, records, searching, words  # noqa: E402, F401

@@ -53,7 +53,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_ITEMS}, {_BM25} SELECT query_id, count(*) AS matched, round(max(score), 6) AS best FROM sc GROUP BY query_id")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = corpus(spark, d)
-    rows = sparse.search(items(spark, d), docs, 1 << 30, posts=stage(sparse.postings(docs), "postings"))
+    rows = sparse.scores(items(spark, d), docs, ["query_id"], posts=stage(sparse.postings(docs), "postings"))
     return rows.groupBy("query_id").agg(F.count("*").alias("matched"), F.round(F.max("score"), 6).alias("best"))
 
 
@@ -85,14 +85,19 @@ def dense_topk_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TWO = f"lists AS (SELECT query_id, pos, rank, 0 AS list_no FROM dense WHERE rank <= {2 * K} UNION ALL SELECT query_id, pos, rank, 1 FROM sparse WHERE rank <= {2 * K})"
-_RRF = f"fused AS (SELECT query_id, pos, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list_no * 4294967296 + rank) AS seen FROM lists GROUP BY ALL), pool AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM fused QUALIFY rank <= {2 * K})"
+_RRF = f"fused AS (SELECT query_id, arg_min(pos, list_no * 4294967296 + rank) AS pos, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list_no * 4294967296 + rank) AS seen FROM lists JOIN corpus USING (pos) GROUP BY query_id, content, origin), pool AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM fused QUALIFY rank <= {2 * K})"
 _BOTH = f"WITH {_ITEMS}, {_BM25}, {_DENSE}, {_TWO}, {_RRF}"
 
 
+def _keyed(spark: SparkSession, d: str, lists: DataFrame) -> DataFrame:
+    keys = corpus(spark, d).select("pos", fusion.document_key(F.col("content"), F.col("origin")).alias("key"))
+    return lists.join(keys, "pos")
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     lists = _dense(spark, d, 2 * K).select("query_id", "pos", "rank", F.lit(0).alias("list_no"))
     lists = lists.unionByName(_sparse(spark, d, 2 * K).select("query_id", "pos", "rank", F.lit(1).alias("list_no")))
-    return fusion.reciprocal_rank(lists, ["query_id"], ["pos"], 2 * K)
+    return fusion.reciprocal_rank(_keyed(spark, d, lists), ["query_id"], ["key"], 2 * K, carry=["pos"]).drop("key")
 
 
 @query(f"{_BOTH} SELECT query_id, pos, round(score, 6) AS score, rank FROM pool")
@@ -100,11 +105,11 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query_id", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{_BOTH} SELECT query_id, pos, min(list_no * 100 + rank)::BIGINT AS first_at FROM lists GROUP BY ALL")
+@query(f"{_BOTH} SELECT query_id, arg_min(pos, list_no * 100 + rank) AS pos, min(list_no * 100 + rank)::BIGINT AS first_at FROM lists JOIN corpus USING (pos) GROUP BY query_id, content, origin")
 def dedupe_preserve_order(spark: SparkSession, d: str) -> DataFrame:
     lists = _dense(spark, d, 2 * K).select("query_id", "pos", F.col("rank").cast("long").alias("first_at"))
     lists = lists.unionByName(_sparse(spark, d, 2 * K).select("query_id", "pos", (F.col("rank") + 100).cast("long").alias("first_at")))
-    return fusion.first_of(lists, ["query_id", "pos"], ["first_at"])
+    return fusion.first_of(_keyed(spark, d, lists), ["query_id", "key"], ["first_at"]).drop("key")
 
 
 _JAC = f"""tk AS (SELECT query_id, rank, {P.tokens('content')} AS t FROM pool JOIN corpus USING (pos)), pr AS (SELECT a.query_id, a.rank AS rank_a, b.rank AS rank_b,
@@ -147,23 +152,25 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
 def _sentences_sql(x: str) -> str:
     """Sentences of a text without suspicious lines; the marks of the look-around are put in by replacement."""
     safe = P.strip(f"array_to_string(regexp_split_to_array({x}, '\\r\\n|[\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), chr(10))")
-    marked = f"regexp_replace({safe}, '([.!?])[ \\t\\n\\x0b\\x0c\\r]+([A-Z0-9])', '\\1' || chr(10) || '\\2', 'g')"
+    marked = f"regexp_replace({safe}, '([.!?]){P.WS}+([A-Z0-9])', '\\1' || chr(10) || '\\2', 'g')"
     kept = f"list_filter(list_transform(regexp_split_to_array({marked}, '\\n+'), lambda p: {P.strip('p')}), lambda p: length(p) >= 3)"
     return f"CASE WHEN {P.suspicious(x)} OR {safe} = '' THEN [] WHEN len({kept}) > 0 THEN {kept} ELSE [{safe}] END"
 
 
-_CUT = f"cut AS (SELECT query_id, query, rank, label, content, generate_subscripts(ss, 1)::INT AS sentence_no, unnest(ss) AS sentence FROM (SELECT query_id, query, rank, label, content, {_sentences_sql('content')} AS ss FROM top))"
-_TOP3 = f"WITH {_ITEMS}, {_BM25}, top AS (SELECT query_id, query, rank::INT AS rank, content, label FROM sparse JOIN corpus USING (pos) JOIN q USING (query_id) WHERE rank <= 3), {_CUT}"
+CUT = f"cut AS (SELECT query_id, query, rank, label, content, generate_subscripts(ss, 1)::INT AS sentence_no, unnest(ss) AS sentence FROM (SELECT query_id, query, rank, label, content, {_sentences_sql('content')} AS ss FROM top))"
+_TOP3 = f"WITH {_ITEMS}, {_BM25}, top AS (SELECT query_id, query, rank::INT AS rank, content, label FROM sparse JOIN corpus USING (pos) JOIN q USING (query_id) WHERE rank <= 3), {CUT}"
 _NUM = r"'(?:^|[^\pL\pN_])\d{2,4}(?:$|[^\pL\pN_])'"
 _CAPS = r"regexp_extract_all(regexp_replace(query, '([^\pL\pN_])', '\1\1', 'g'), '(?:^|[^\pL\pN_])([A-Z][a-zA-Z0-9]+)(?:$|[^\pL\pN_])', 1)"
 _BONUS = (
     f"CASE WHEN len(qt) > 0 AND len(st) > 0 THEN least(0.25::DOUBLE, len(list_intersect(qt, st))::DOUBLE / len(list_distinct(qt)) * 0.15 + CASE WHEN regexp_matches(query, {_NUM}) AND regexp_matches(sentence, {_NUM}) THEN 0.10 ELSE 0.0 END "
     f"+ least(0.15::DOUBLE, len(list_filter({_CAPS}, lambda t: contains(lower(sentence), lower(t)))) * 0.05::DOUBLE)) ELSE 0.0 END"
 )
-_CHOSEN = f"""{_TOP3}, raw AS (SELECT *, {P.relevance('qt', 'st', f"least(1.0, 0.25 * len({P.matched('sentence')}))")} + {_BONUS} AS raw FROM (SELECT *, {P.tokens('query')} AS qt, {P.tokens('sentence')} AS st FROM cut)),
+#: From ``cut``: all sentences with their score, the best of each document, and the chosen ones.
+EVIDENCE = f"""raw AS (SELECT *, {P.relevance('qt', 'st', f"least(1.0, 0.25 * len({P.matched('sentence')}))")} + {_BONUS} AS raw FROM (SELECT *, {P.tokens('query')} AS qt, {P.tokens('sentence')} AS st FROM cut)),
  num AS (SELECT *, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank, sentence_no)::INT AS evidence_id FROM raw WHERE raw >= 0.01),
  doc3 AS (SELECT * FROM num QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY score DESC, sentence_no) <= 3),
  chosen AS (SELECT query_id, evidence_id, rank, sentence_no, sentence, score, label FROM doc3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, sentence_no) <= 10)"""
+_CHOSEN = f"{_TOP3}, {EVIDENCE}"
 
 
 @query(f"WITH {P.CORPUS} SELECT pos, generate_subscripts(ss, 1)::INT - 1 AS sentence_no, unnest(ss) AS sentence FROM (SELECT pos, {_sentences_sql('content')} AS ss FROM corpus)")
@@ -196,15 +203,20 @@ def _block_sql(n: int, budget: int) -> str:
     return ", ".join(steps)
 
 
-def _context_sql(budget: int) -> str:
+def context_parts(budget: int) -> str:
+    """From ``chosen`` and ``top``: the context of each query with a document."""
     block = "printf('[Evidence %d | source=%s | score=%.3f]', evidence_id, label, score) || chr(10) || sentence"
     return (
-        f"{_CHOSEN}, bl AS (SELECT query_id, list({block} ORDER BY rank, sentence_no) AS bs FROM chosen GROUP BY query_id), {_block_sql(10, budget)}, "
+        f"bl AS (SELECT query_id, list({block} ORDER BY rank, sentence_no) AS bs FROM chosen GROUP BY query_id), {_block_sql(10, budget)}, "
         f"ctx AS (SELECT query_id, coalesce(t, {P.quoted(V.NO_CONTEXT)}) AS context, coalesce(n, 0)::INT AS selected, original_chars FROM (SELECT query_id, sum(length(content))::BIGINT AS original_chars FROM top GROUP BY query_id) LEFT JOIN f10 USING (query_id))"
     )
 
 
-_PARTS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({P.strip('context')}, '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(10), 'g'), '\\n+'), lambda p: {P.strip('p')}), lambda p: p <> '')"
+def _context_sql(budget: int) -> str:
+    return f"{_CHOSEN}, {context_parts(budget)}"
+
+
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({P.strip('context')}, '([.!?]){P.WS}+', '\\1' || chr(10), 'g'), '\\n+'), lambda p: {P.strip('p')}), lambda p: p <> '')"
 
 
 @query(f"{_context_sql(600)} SELECT query_id, context, selected, original_chars, length(context)::INT AS compressed_chars, CASE WHEN selected > 0 THEN round(length(context)::DOUBLE / original_chars, 4) ELSE 0.0 END AS ratio FROM ctx")
@@ -221,92 +233,18 @@ def evidence_block(spark: SparkSession, d: str) -> DataFrame:
     return context.evidence_block(_top_docs(spark, d), ["query_id"], 700)
 
 
-@query(
-    f"{_context_sql(V.CONTEXT_CHARS)}, parts AS (SELECT query_id, list_filter(list_distinct({P.runs('query')}), lambda t: length(t) > 2) AS qw, {_PARTS} AS ps, context FROM ctx JOIN q USING (query_id)), "
-    "used AS (SELECT query_id, qw, context, CASE WHEN len(hs) > 0 THEN hs ELSE ps END AS us FROM (SELECT *, list_filter(ps, lambda p: NOT regexp_matches(p, '^\\[(?:Evidence|doc=|source=)')) AS hs FROM parts)), "
-    f"scored AS (SELECT query_id, context, s, i, len(list_intersect(qw, {P.runs('s')})) AS hits FROM (SELECT query_id, qw, context, unnest(us) AS s, generate_subscripts(us, 1) AS i FROM used)) "
-    f"SELECT query_id, CASE WHEN contains(context, {P.quoted(V.NO_CONTEXT)}) THEN {P.quoted(V.EVIDENCE_ABSTENTION)} ELSE substr(s, 1, 300) END AS answer FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, length(s), i) = 1"
-)
-def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
-    built = context.compressed_context(_top_docs(spark, d), ["query_id"])
-    return grounding.extractive_answer(items(spark, d).join(built, "query_id"), ["query_id"])
-
-
-def index(spark: SparkSession, d: str, sizes: tuple[int, int]) -> retrieval.Index:
-    return retrieval.Index.build(pipelines.chunk_units(corpus(spark, d), *sizes))
-
-
-@query()
-def index_preparation(spark: SparkSession, d: str) -> DataFrame:
-    """Units of the parent and of the child index."""
-    sizes = [("parent", index(spark, d, V.PARENT_CHUNK).count()), ("child", index(spark, d, V.CHILD_CHUNK).count())]
-    return spark.createDataFrame(sizes, "kind string, units long")
-
-
-def _units_sql(size: int, overlap: int) -> str:
-    """The corpus' chunks in the place of its documents."""
-    cut = _chunk_sql(size, overlap).split("WITH RECURSIVE ", 1)[1].split("SELECT pos, no::INT", 1)[0]
-    cut = cut.replace("corpus AS (", "base AS (", 1).replace("FROM corpus\n", "FROM base\n")
-    return f"{cut}, corpus AS (SELECT pos * 100000 + no AS pos, {P.strip('p')} AS content FROM kept WHERE {P.strip('p')} <> '')"
-
-
-def _baseline_sql(k: int) -> str:
-    lists = f"lists AS (SELECT query_id, pos, rank, 0 AS list_no FROM re UNION ALL SELECT query_id, pos, rank, 1 FROM sparse WHERE rank <= {2 * k})"
-    first = f"pool AS (SELECT * FROM dense WHERE rank <= {2 * k}), {_REL}, {_RERANK}"
-    second = _RRF.replace(f"<= {2 * K}", f"<= {2 * k}").replace("pool AS", "pool2 AS"), _REL.replace("rel AS", "rel2 AS").replace("FROM pool l", "FROM pool2 l"), _JAC.replace("FROM pool ", "FROM pool2 ")
-    head = f"WITH RECURSIVE {P.QUESTIONS}, q AS (SELECT query_id, query FROM asked), {_BM25}, {_DENSE}, {first}, {lists}, {', '.join(second)}".replace(P.CORPUS, _units_sql(*V.CHILD_CHUNK))
-    steps, last = _mmr_sql(k).split(" SELECT query_id, 1::BIGINT", 1)
+def extract_parts(source: str) -> str:
+    """From ``source`` (query_id, query, context): ``extract`` (query_id, answer), the sentence taken from each context."""
     return (
-        f"{head}, cand AS MATERIALIZED (SELECT query_id, rank, pos, relevance FROM rel2), sym AS MATERIALIZED (SELECT query_id, rank_a AS r, rank_b AS o, j FROM pr UNION ALL SELECT query_id, rank_b, rank_a, j FROM pr), {steps}, "
-        f"picked AS (SELECT query_id, 1::BIGINT{last}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pick_no)::INT AS rank, pos AS unit, round(relevance, 6) AS relevance FROM picked JOIN rel2 USING (query_id, pos) WHERE NOT {P.suspicious('content')}"
+        f"parts AS (SELECT query_id, list_filter(list_distinct({P.runs('query')}), lambda t: length(t) > 2) AS qw, {_PARTS} AS ps, context FROM {source}), "
+        "used AS (SELECT query_id, qw, context, CASE WHEN len(hs) > 0 THEN hs ELSE ps END AS us FROM (SELECT *, list_filter(ps, lambda p: NOT regexp_matches(p, '^\\[(?:Evidence|doc=|source=)')) AS hs FROM parts)), "
+        f"sent AS (SELECT query_id, s, i, len(list_intersect(qw, {P.runs('s')})) AS hits FROM (SELECT query_id, qw, unnest(us) AS s, generate_subscripts(us, 1) AS i FROM used)), "
+        "taken AS (SELECT query_id, s FROM sent QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, length(s), i) = 1), "
+        f"extract AS (SELECT query_id, CASE WHEN contains(context, {P.quoted(V.NO_CONTEXT)}) OR s IS NULL THEN {P.quoted(V.EVIDENCE_ABSTENTION)} ELSE substr(s, 1, 300) END AS answer FROM parts LEFT JOIN taken USING (query_id))"
     )
 
 
-@query(_baseline_sql(V.TOP_K))
-def baseline_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.baseline_retrieve(asked(spark, d).select("query_id", "query"), index(spark, d, V.CHILD_CHUNK)).select("query_id", "rank", "unit", F.round("relevance", 6).alias("relevance"))
-
-
-@query()
-def baseline_answer(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.baseline_answer(asked(spark, d).select("query_id", "query"), index(spark, d, V.CHILD_CHUNK))
-
-
-def _planned(spark: SparkSession, d: str) -> DataFrame:
-    return stage(routing.planned(asked(spark, d).select("query_id", "query")), "planned")
-
-
-@query()
-def parent_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    docs, _ = pipelines.parent_retrieve(_planned(spark, d), index(spark, d, V.PARENT_CHUNK))
-    return docs.select("query_id", "rank", "unit", "doc_id", F.round("relevance", 6).alias("relevance"))
-
-
-@query()
-def usage_accounting(spark: SparkSession, d: str) -> DataFrame:
-    """Vector and sparse queries of the parent search: variants times searches."""
-    rows = _planned(spark, d)
-    _, counts = pipelines.parent_retrieve(rows, index(spark, d, V.PARENT_CHUNK))
-    n = (F.size("variants") * F.col("searches")).cast("long")
-    return rows.join(counts, "query_id").select("query_id", n.alias("vector_queries"), n.alias("sparse_queries"), (n * 2 + 1).alias("total_operations"))
-
-
-@query()
-def parent_child_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    got = pipelines.parent_child_retrieve(_planned(spark, d), index(spark, d, V.PARENT_CHUNK))
-    return got["documents"].select("query_id", "rank", "doc_id", F.round("relevance", 6).alias("relevance"))
-
-
-@query()
-def corrective_retry(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.parent_child_retrieve(_planned(spark, d), index(spark, d, V.PARENT_CHUNK))["retry"]
-
-
-@query()
-def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.parent_child_retrieve(_planned(spark, d), index(spark, d, V.PARENT_CHUNK))["quality"]
-
-
-@query()
-def adaptive_answer(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.adaptive_answer(asked(spark, d).select("query_id", "query"), index(spark, d, V.PARENT_CHUNK))
+@query(f"{_context_sql(V.CONTEXT_CHARS)}, asking AS (SELECT query_id, query, context FROM ctx JOIN q USING (query_id)), {extract_parts('asking')} SELECT query_id, answer FROM extract")
+def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
+    built = context.compressed_context(_top_docs(spark, d), ["query_id"])
+    return grounding.extractive_answer(items(spark, d).join(built, "query_id"), ["query_id"])

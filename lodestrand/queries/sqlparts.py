@@ -72,17 +72,38 @@ def has_text(x: str, parts: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, {quoted(p)})" for p in parts) + ")"
 
 
+def bounded(x: str) -> str:
+    """The text with two marks at either end of every word, as RE2 knows no word bounds of other scripts: a match may end
+    on the one and the next begin on the other."""
+    return f"regexp_replace({x}, '([\\pL\\pN_]+)', chr(1) || chr(1) || '\\1' || chr(1) || chr(1), 'g')"
+
+
+def found(x: str, pattern: str) -> str:
+    """What the first group of ``pattern``, over a text with marks, finds in ``x``, the marks left out."""
+    return f"list_transform(regexp_extract_all({bounded(x)}, '{pattern}', 1), lambda s: replace(s, chr(1), ''))"
+
+
+def has_number(x: str, least: int) -> str:
+    return f"regexp_matches({bounded(x)}, '\\x01\\p{{Nd}}{{{least},4}}\\x01')"
+
+
 LATEST = "(SELECT * FROM corpus_docs WHERE doc_pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_pos ORDER BY ingested_at DESC) = 1)"
+
+
 def label(x: str) -> str:
     plain = f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '[\\x00-\\x08\\x0A-\\x1F]', '', 'g'), '{WS}+', ' ', 'g'))"
     safe = f"substr(translate({plain}, '[]{{}}|<>', '()()/()'), 1, 160)"
     return f"CASE WHEN {suspicious(plain)} THEN 'redacted-untrusted-metadata' WHEN {safe} = '' THEN 'unknown-source' ELSE {safe} END"
 
 
+#: A missing doc_id is made of the place among the documents with text.
 CORPUS = f"""corpus AS (
-  SELECT doc_pos AS pos, {strip('content')} AS content, coalesce(doc_id, printf('corpus-doc-%04d', doc_pos)) AS doc_id, title, source, url,
-    {label("coalesce(nullif(title, ''), nullif(source, ''), nullif(url, ''), nullif(doc_id, ''), doc_pos::VARCHAR)")} AS label
-  FROM {LATEST} WHERE {strip('content')} <> '')"""
+  SELECT *, {label("coalesce(nullif(title, ''), nullif(source, ''), nullif(url, ''), nullif(doc_id, ''), pos::VARCHAR)")} AS label, coalesce(nullif(source, ''), nullif(title, ''), nullif(url, ''), pos::VARCHAR) AS origin FROM (
+    SELECT doc_pos AS pos, {strip('content')} AS content, coalesce(doc_id, printf('corpus-doc-%04d', row_number() OVER (ORDER BY doc_pos) - 1)) AS doc_id, title, source, url, metadata
+    FROM {LATEST} WHERE {strip('content')} <> ''))"""
+#: Metadata as pairs in order of their keys: the record's own, its fields and its position.
+METADATA = "list_sort(list_transform(list_concat(list_filter(map_entries(coalesce(metadata, MAP {})), lambda e: NOT list_contains(list_transform(own, lambda o: o.key), e.key)), own), lambda e: e.key || '=' || coalesce(e.value, chr(1))))"
+WITH_METADATA = f"described AS (SELECT *, {METADATA} AS pairs FROM (SELECT *, list_filter([{{'key': 'doc_id', 'value': doc_id}}, {{'key': 'title', 'value': title}}, {{'key': 'source', 'value': source}}, {{'key': 'url', 'value': url}}, {{'key': 'index', 'value': pos::VARCHAR}}], lambda o: o.value IS NOT NULL) AS own FROM corpus))"
 
 QUESTIONS = f"""asked AS (
   SELECT question_id AS query_id, {strip('question')} AS query, context,

@@ -58,6 +58,6 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return top.select("vec_id", "other", F.round("score", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT doc_id, to_json(list_filter(s, lambda p: p <> ''))::VARCHAR AS sentences FROM (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10) || '+', chr(10), 'g'), chr(10)), lambda p: " + P.strip("p") + ") AS s FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, to_json(list_filter(s, lambda p: p <> ''))::VARCHAR AS sentences FROM (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])" + P.WS + "+', '\\1' || chr(10), 'g'), chr(10) || '+', chr(10), 'g'), chr(10)), lambda p: " + P.strip("p") + ") AS s FROM documents WHERE text IS NOT NULL)")
 def grounding_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.to_json(T.sentences(F.col("text"))).alias("sentences"))

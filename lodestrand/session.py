@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -36,10 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is named."""
+    """The folder all executors share, as the cluster names it. Without one a local master gets a temporary folder; a
+    cluster is an error, as each executor would write to a disk of its own."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on {master}")
     own = getattr(spark, "_lodestrand_dir", None)
     if own is None:
         own = spark._lodestrand_dir = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
@@ -56,9 +64,41 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged within are removed at its end; what is needed longer must be written elsewhere before. For
+    streams, whose batches would otherwise fill the folder."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _remove(_written[before:])
+        del _written[before:]
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a staged table that nothing reads any more."""
+    files = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in df.inputFiles()}
+    gone = [x for x in _written if x[1].split(":", 1)[-1].lstrip("/") in files]
+    _remove(gone)
+    for x in gone:
+        _written.remove(x)
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at ``path``: a table read again is the same while this is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 @atexit.register
 def _remove_staged() -> None:
-    for spark, path in _written:
+    _remove(_written)
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -76,3 +116,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Keys of more than one in HOT_PARTS of the rows are hot; there are under HOT_PARTS of them.
+HOT_PARTS = 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row a key, for keys that may hold a third of ``rows``. Keys of
+    over ``least`` rows and a HOT_PARTS-th of all, of which there are under HOT_PARTS, are broadcast; the others are
+    joined by shuffle, so no task takes a large share. ``rows`` is read twice and should be staged."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = counts.where(F.col("_n") > max(total // HOT_PARTS, least)).select(*keys)
+    if total <= least or hot.isEmpty():
+        return rows.join(side, keys)
+    hot = F.broadcast(stage(hot, "hot-keys"))
+    near = rows.join(hot, keys, "left_semi").join(F.broadcast(side.join(hot, keys, "left_semi")), keys)
+    return near.unionByName(rows.join(hot, keys, "left_anti").join(side, keys))

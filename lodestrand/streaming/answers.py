@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestrand.operators.retrieval import Index
 from lodestrand.plans.pipelines import adaptive_answer
+from lodestrand.session import scope
 
 
 def answer_stream(stream: DataFrame, index: Index, out: str, checkpoint: str, answer: Callable[[DataFrame, Index], DataFrame] = adaptive_answer) -> StreamingQuery:
@@ -16,7 +17,8 @@ def answer_stream(stream: DataFrame, index: Index, out: str, checkpoint: str, an
     each batch, so that a batch done again after a failure replaces itself."""
 
     def one(batch: DataFrame, n: int) -> None:
-        if not batch.isEmpty():
-            answer(batch, index).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        with scope():  # what a batch stages goes with it
+            if not batch.isEmpty():
+                answer(batch, index).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

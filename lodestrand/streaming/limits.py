@@ -26,13 +26,6 @@ def sliding_counts(events: DataFrame, key: str = "user_id", seconds: int = WINDO
     return events.withColumn("at", at).withColumn("recent", F.count("*").over(frame)).drop("at")
 
 
-def min_interval(events: DataFrame, seconds: float, key: str = "user_id") -> DataFrame:
-    """Each event with the seconds since its key's last one, and whether that is enough."""
-    order = Window.partitionBy(key).orderBy("ts", "event_id")
-    gap = (_micros() - F.lag(_micros()).over(order)) / 1e6
-    return events.withColumn("gap", gap).withColumn("spaced", F.coalesce(F.col("gap") >= seconds, F.lit(True)))
-
-
 def _admit(times: Iterator[float], limit: int, seconds: float, kept: deque) -> list[bool]:
     out = []
     for t in times:
@@ -44,10 +37,10 @@ def _admit(times: Iterator[float], limit: int, seconds: float, kept: deque) -> l
     return out
 
 
-def rate_limited(events: DataFrame, limit: int = vocab.REQUESTS_PER_MINUTE, seconds: int = WINDOW_S, key: str = "user_id") -> DataFrame:
+def rate_limited(events: DataFrame, limit: int = vocab.REQUESTS_PER_MINUTE, seconds: float = WINDOW_S, key: str = "user_id") -> DataFrame:
     """(event_id, key, ts, admitted): an event is admitted while fewer than ``limit`` admitted ones of its key lie within
     ``seconds``; refused ones don't count. The window's state is at most ``limit`` times, carried through Arrow batches
-    of rows sorted by key and time, so a busy key never stands in memory."""
+    of rows sorted by key and time, so a busy key never stands in memory; exact admission takes one task a key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, kept = object(), deque()
@@ -65,6 +58,12 @@ def rate_limited(events: DataFrame, limit: int = vocab.REQUESTS_PER_MINUTE, seco
     return placed.mapInPandas(run, f"event_id {kind['event_id']}, {key} {kind[key]}, ts {kind['ts']}, admitted boolean")
 
 
+def min_interval(events: DataFrame, seconds: float, key: str = "user_id") -> DataFrame:
+    """(event_id, key, ts, spaced): whether an event comes ``seconds`` or more after the last one of its key that did;
+    refused ones don't move the clock."""
+    return rate_limited(events, 1, seconds, key).withColumnRenamed("admitted", "spaced")
+
+
 def circuit_breaker(events: DataFrame, failures: int = vocab.BREAKER_FAILURES, seconds: int = vocab.BREAKER_SECONDS, key: str = "user_id") -> DataFrame:
     """(event_id, key, ts, state): ``open`` for ``seconds`` after ``failures`` errors in a row, when calls are refused and
     count for nothing; the first call after that starts anew, a success clears the count."""

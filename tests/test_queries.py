@@ -7,6 +7,8 @@ from lodestrand.queries import registry
 from tests.oracle import same
 
 SOME = [
+    "normalize_document_shapes", "serialize_documents", "reference_answer_shapes", "expected_abstentions", "cache_merge", "cached_embeddings", "entity_spans", "question_support", "grounding_by_quality",
+    "render_prompts", "token_usage", "dedupe_preserve_order", "select_evidence", "baseline_answer", "parent_child_retrieve", "corrective_retry", "usage_accounting", "quality_report", "adaptive_answer", "evaluation_rows", "compare_models",
     "document_ids", "reference_answers", "corpus_fingerprint", "strip_injection_lines", "child_chunks", "cache_evict", "static_policy", "query_plan",
     "query_variants", "fact_markers", "answer_support", "bm25_topk", "rrf_fusion", "mmr_select", "token_f1", "hit_rate_text", "sliding_request_count", "min_interval",
 ]

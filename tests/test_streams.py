@@ -48,3 +48,21 @@ def test_answer_stream(spark, tmp_path):
     stream = spark.readStream.schema("query_id long, query string").parquet(str(tmp_path / "q"))
     answers.answer_stream(stream, index, str(tmp_path / "out"), str(tmp_path / "log"), pipelines.baseline_answer).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select(F.col("query_id")).collect()[0][0] == 1
+
+
+def test_refused_requests_do_not_move_the_clock(spark):
+    rows = events(spark, [(0, 1, "a"), (20, 1, "a"), (35, 1, "a"), (64, 1, "a"), (65, 1, "a"), (5, 2, "a")])
+    got = {r["event_id"]: r["spaced"] for r in limits.min_interval(rows, 30).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_batches_leave_nothing_staged(spark, tmp_path):
+    from lodestrand import session
+
+    with session.scope():
+        kept = session.stage(spark.range(3).toDF("x"), "scoped")
+        files = [f.split(":", 1)[1].replace("//", "/") for f in kept.inputFiles()]
+        assert kept.count() == 3
+    import os
+
+    assert files and not any(os.path.exists(f) for f in files)
