@@ -118,19 +118,23 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Keys of more than one in HOT_PARTS of the rows are hot; there are under HOT_PARTS of them.
-HOT_PARTS = 10_000
-
-
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
-    """Inner join of ``rows`` with ``side``, which has one row a key, for keys that may hold a third of ``rows``. Keys of
-    over ``least`` rows and a HOT_PARTS-th of all, of which there are under HOT_PARTS, are broadcast; the others are
-    joined by shuffle, so no task takes a large share. ``rows`` is read twice and should be staged."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = rows.count()
-    hot = counts.where(F.col("_n") > max(total // HOT_PARTS, least)).select(*keys)
-    if total <= least or hot.isEmpty():
-        return rows.join(side, keys)
-    hot = F.broadcast(stage(hot, "hot-keys"))
-    near = rows.join(hot, keys, "left_semi").join(F.broadcast(side.join(hot, keys, "left_semi")), keys)
-    return near.unionByName(rows.join(hot, keys, "left_anti").join(side, keys))
+#: A key is hot if it holds over LEAST_HOT rows and a HOT_PARTS-th of all; there are under HOT_PARTS of them.
+HOT_PARTS, LEAST_HOT = 10_000, 100_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], least: int = LEAST_HOT) -> DataFrame:
+    """Inner join of ``many``, a key of which may hold a third of all rows, with ``few``. The rows of a hot key are parted
+    by their hash, so many a part that none is hot, and the rows of ``few`` with that key are repeated for each part; so
+    no task takes a large share. ``many`` is read twice and should be staged. Neither has a column ``_part``."""
+    total = many.count()
+    if total <= least:
+        return many.join(few, keys)
+    limit = max(least, total // HOT_PARTS)
+    hot = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = stage(hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot-keys")
+    if hot.isEmpty():
+        return many.join(few, keys)
+    hot, parts = F.broadcast(hot), F.coalesce("_parts", F.lit(1))
+    one = many.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("_parts")
+    two = few.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return one.join(two, [*keys, "_part"]).drop("_part")
