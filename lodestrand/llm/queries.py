@@ -48,9 +48,9 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.document_groups(*near_dup.near_duplicates(table(spark, d, "corpus_docs"))).withColumnRenamed("id", "doc_pos")
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark: SparkSession, d: str) -> format_dup.Records:
     docs, questions = table(spark, d, "corpus_docs"), table(spark, d, "questions")
-    return format_dup.corpus_records(docs).unionByName(format_dup.question_records(questions))
+    return format_dup.corpus_records(docs) + format_dup.question_records(questions)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
