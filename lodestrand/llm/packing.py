@@ -23,24 +23,27 @@ BUCKET_ITEMS, MOST_BUCKETS = 100_000, 512
 # Fixed value: the split pattern that belongs to the byte-level vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_encoders: dict[str, object] = {}
+_encoders: dict[int, object] = {}
 
 
-def _encoder(vocabulary: str):
-    if vocabulary not in _encoders:
+def _encoder(vocabulary: bytes):
+    key = hash(vocabulary)
+    if key not in _encoders:
         import tiktoken
 
-        pairs = (line.split() for line in Path(vocabulary).read_bytes().splitlines() if line)
+        pairs = (line.split() for line in vocabulary.splitlines() if line)
         ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        _encoders[vocabulary] = tiktoken.Encoding("window", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[vocabulary]
+        _encoders[key] = tiktoken.Encoding("window", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens) of every document by the public vocabulary; null ids, null and empty texts have no row."""
+    """(doc_id, tokens) of every document by the public vocabulary; null ids, null and empty texts have no row. The
+    vocabulary's file is read here and sent to the executors, which need no path of their own; it is under 2 MB."""
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(shared.value).encode_ordinary
         for b in batches:
             sizes = pa.array([len(encode(t)) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), sizes], ["doc_id", "tokens"])
@@ -200,26 +203,43 @@ def _segments(plan: Counter[Pattern]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def _pages(segments: np.ndarray, hist: dict[int, int]) -> tuple[dict[int, int], pa.Table]:
+    """(width by size, segments by page): the items of a size are paged by their number, in as many pages as the size has
+    segments, and every segment stands on each page it reaches into; so there are at most twice as many rows as
+    segments, and an item meets two of them on average."""
+    count = Counter(segments[:, 0].tolist())
+    width = {s: max(1, -(-n // count[s])) for s, n in hist.items()}
+    w = np.array([width[s] for s in segments[:, 0].tolist()], np.int64)
+    first, last = segments[:, 1] // w, (segments[:, 2] - 1) // w
+    at = np.repeat(np.arange(len(segments)), last - first + 1)
+    page = np.arange(len(at)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[at]
+    cols = {"size": segments[at, 0].astype(np.int32), "page": page, "lo": segments[at, 1], "hi": segments[at, 2], "base": segments[at, 3], "window_start": segments[at, 4].astype(np.int32)}
+    return width, pa.table(cols)
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(window_no, window_start, doc_id, piece_no, token_start, size) of every item of ``items``.
 
-    Only the histogram of at most ``capacity`` lengths reaches the driver, and only the plan's segments, whose number
-    depends on the lengths and not on the documents, are broadcast. Items of one length are numbered within hash buckets
-    and by the buckets' sums, so a length that a third of all documents have isn't brought into one task: a length has a
-    bucket for each BUCKET_ITEMS of its items, MOST_BUCKETS at most, which bounds the sums.
+    Only the histogram of at most ``capacity`` lengths reaches the driver. The plan's segments are written as a table and
+    joined by size and page of the item's number, so an item meets about two of them however many there are, and nothing
+    but tables by size is broadcast. Items of one length are numbered within hash buckets and by the buckets' sums, so a
+    length that a third of all documents have isn't brought into one task: a length has a bucket for each BUCKET_ITEMS
+    of its items, MOST_BUCKETS at most, which bounds the sums.
     """
     spark = items.sparkSession
     items = items.select("doc_id", "piece_no", "token_start", "size")
     hist = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    buckets = spark.createDataFrame([(s, min(MOST_BUCKETS, -(-n // BUCKET_ITEMS))) for s, n in hist.items()], "size int, buckets int")
-    items = items.join(F.broadcast(buckets), "size").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("buckets")).cast("int")).drop("buckets")
+    segments = np.array(_segments(plan_windows(hist, capacity)), np.int64).reshape(-1, 5)
+    width, paged = _pages(segments, hist)
+    sizes = spark.createDataFrame([(s, min(MOST_BUCKETS, -(-n // BUCKET_ITEMS)), width[s]) for s, n in hist.items()], "size int, buckets int, width long")
+    items = items.join(F.broadcast(sizes), "size").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("buckets")).cast("int")).drop("buckets")
     sums = items.groupBy("size", "bucket").agg(F.count("*").alias("n"))
-    segments = spark.createDataFrame(_segments(plan_windows(hist, capacity)), "size int, lo long, hi long, base long, window_start int")
+    plan = stage(spark.createDataFrame(paged), "window-plan") if len(segments) else spark.createDataFrame([], "size int, page long, lo long, hi long, base long, window_start int")
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("size", "bucket").orderBy("doc_id", "piece_no")
     numbered = items.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(first), ["size", "bucket"]).withColumn("k", F.col("k") + F.col("first"))
-    at = numbered.join(F.broadcast(segments), "size").where("k >= lo and k < hi")
+    at = numbered.withColumn("page", F.expr("k div width")).join(plan, ["size", "page"]).where("k >= lo and k < hi")
     return at.select((F.col("base") + F.col("k") - F.col("lo")).alias("window_no"), "window_start", "doc_id", "piece_no", "token_start", "size")
 
 
@@ -227,3 +247,19 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     """Windows of ``capacity`` tokens filled with whole documents. No documents, no windows; a repeated ``doc_id`` with
     the same text is packed as often as it occurs."""
     return pack(stage(window_items(token_lengths(docs, vocabulary), capacity), "window-items"), capacity)
+
+
+def window_checks(windows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """What packed windows must hold, as one row: ``documents`` packed, windows ``overfull``, items that don't begin where
+    the one before ends (``gaps``), documents ``divided`` though they fit or into pieces that aren't consecutive, and
+    whether the windows are ``filled``: at most 1 % and one more of them than the tokens need."""
+    order = Window.partitionBy("window_no").orderBy("window_start", "doc_id", "piece_no")
+    before = F.coalesce(F.lag(F.col("window_start") + F.col("size")).over(order), F.lit(0))
+    placed = windows.withColumn("gap", F.col("window_start") != before)
+    by_window = placed.groupBy("window_no").agg(F.sum("size").alias("used"), F.count_if("gap").alias("gaps"))
+    one = by_window.agg(F.count("*").alias("windows"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.count_if(F.col("used") > capacity).alias("overfull"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"))
+    by_doc = windows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("used"), F.max(F.col("token_start") + F.col("size")).alias("end"), F.countDistinct("piece_no").alias("numbers"))
+    wrong = (F.col("n") != F.ceil(F.col("used") / capacity)) | (F.col("end") != F.col("used")) | (F.col("numbers") != F.col("n"))
+    two = by_doc.agg(F.count("*").alias("documents"), F.count_if(wrong).alias("divided"))
+    filled = F.col("windows") <= F.ceil(F.col("tokens") / capacity) * 1.01 + 1
+    return one.crossJoin(two).select("documents", "overfull", "gaps", "divided", filled.alias("filled"))
