@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.session import stage
+
+#: Groups are paired in squares of so many members a side.
+PAIR_BLOCK = 2_000
+
 # The words that are no tokens (TESTDATA.md, common terms).
 STOP_WORDS = tuple(
     "a an the and or but if then of in on to for from by with about as is are was were be been being "
@@ -41,3 +46,38 @@ def tokens(text: Column) -> Column:
 def letters(text: Column) -> Column:
     """Letters and digits of any script, lower-cased, all else dropped."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
+def pairs_within(rows: DataFrame, on: list[str], ident: str, keep: Column | None = None, size: str | None = None, threshold: float = 1.0, block: int | None = PAIR_BLOCK) -> DataFrame:
+    """(a, b), a < b: pairs of the distinct ``ident`` of ``rows`` that agree in ``on``, of which ``keep`` is true (over
+    a, b, and ``size`` as size_a, size_b).
+
+    A group of over ``block`` members is paired in squares of blocks, so no task holds it. With ``size``, only members
+    whose sizes are within ``threshold`` of each other are brought together there: sizes are ranked by powers of it,
+    and a rank meets itself and its two neighbours. ``block`` of None says that every group is small. ``rows`` is read
+    twice and should be staged."""
+    extra = [size] if size else []
+    one = rows.select(*on, F.col(ident).alias("a"), *[F.col(c).alias(f"{c}_a") for c in extra])
+    two = rows.select(*on, F.col(ident).alias("b"), *[F.col(c).alias(f"{c}_b") for c in extra])
+    met = F.col("a") < F.col("b") if keep is None else (F.col("a") < F.col("b")) & keep
+    if block is None:
+        return one.join(two, on).where(met).select("a", "b")
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    sizes = stage(sizes, "large-groups")
+    if sizes.isEmpty():
+        return one.join(two, on).where(met).select("a", "b")
+    small = one.join(sizes, on, "left_anti").join(two, on).where(met).select("a", "b")
+    one, two = one.join(sizes.select(*on), on), two.join(sizes.select(*on), on)
+    keys = [*on]
+    if size:
+        step = F.lit(1.0 / threshold)
+        ranked = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(step)).cast("int")
+        near = F.array(*[ranked(f"{size}_a") + i for i in (-1, 0, 1)])
+        one, two, keys = one.withColumn("_rank", F.explode(near)), two.withColumn("_rank", ranked(f"{size}_b")), [*on, "_rank"]
+    cells = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    square = stage(cells(one, "_rows").join(cells(two, "_cols"), keys), "squares")
+    one = one.join(square, keys).withColumn("_i", F.pmod(F.xxhash64("a"), F.col("_rows")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)))
+    two = two.join(square, keys).withColumn("_j", F.pmod(F.xxhash64("b"), F.col("_cols")).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
+    cell = [*keys, "_i", "_j"]
+    large = one.select(*cell, "a", *[f"{c}_a" for c in extra]).join(two.select(*cell, "b", *[f"{c}_b" for c in extra]), cell)
+    return small.unionByName(large.where(met).select("a", "b"))

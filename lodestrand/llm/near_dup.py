@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import contents, tokens
+from lodestrand.llm.common import contents, pairs_within, tokens
 from lodestrand.llm.components import components
-from lodestrand.session import stage
+from lodestrand.session import spread_join, stage
 
 THRESHOLD = 0.85
 #: A pair at 0.85 misses all bands with a probability of (1 - 0.85 ** 6) ** 22 = 0.00003; a pair at 0.2 meets in one with 0.0014.
@@ -93,41 +93,38 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return toks.where(F.size("toks") > 0).select("id", F.sha2(F.concat_ws(" ", "toks"), 256).alias("class_key"), "toks")
 
 
-def _meet(rows: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """Pairs a < b of ``rows`` that meet in ``on``, neither too small for the other."""
-    other = rows.withColumnsRenamed({"rep": "b", "size": "size_b"})
-    near = F.least("size", "size_b") >= F.lit(threshold) * F.greatest("size", "size_b") - 1e-9
-    return rows.withColumnRenamed("rep", "a").join(other, on).where((F.col("a") < F.col("b")) & near).select("a", "b")
-
-
 def candidate_pairs(classes: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hot: int = HOT_BUCKET) -> DataFrame:
     """Pairs (a, b) of ``classes`` (rep, toks) that share a band.
 
     A bucket of more than ``hot`` classes isn't paired: its members are parted by the rarest tokens of each, of which
-    two similar sets must share one, so nothing is lost there.
+    two similar sets must share one, so nothing is lost there. Where even the rarest tokens are common, as in texts of
+    one template, the holders of a token are paired by like lengths and in squares.
     """
     hashed = classes.select("rep", F.transform("toks", lambda t: F.xxhash64(t)).alias("hashes"))
     keyed = stage(hashed.mapInArrow(_band_rows(bands, rows), "key long, rep long, size int"), "band-keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(keyed.join(sizes, "key"), "shared-bands")
-    pairs = _meet(shared.where(F.col("n") <= hot).drop("n"), ["key"], threshold)
-    crowd = shared.where(F.col("n") > hot).select("rep", "size", "key")
+    sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+    shared = stage(spread_join(keyed, sizes, ["key"]), "shared-bands")
+    near = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9
+    pairs = pairs_within(shared.where(F.col("n") <= hot), ["key"], "rep", near, "size", threshold, None)
+    crowd = stage(shared.where(F.col("n") > hot).select("rep").distinct(), "crowded")
     if not crowd.isEmpty():
         df = classes.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-        held = classes.join(crowd.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("toks").alias("tok"), F.size("toks").alias("size"))
+        held = classes.join(crowd, "rep", "left_semi").select("rep", F.explode("toks").alias("tok"), F.size("toks").alias("size"))
         order = Window.partitionBy("rep").orderBy("df", "tok")
-        first = held.join(df, "tok").withColumn("at", F.row_number().over(order))
+        first = spread_join(stage(held, "crowded-tokens"), df, ["tok"]).withColumn("at", F.row_number().over(order))
         first = first.where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).select("rep", "size", "tok")
-        pairs = pairs.unionByName(_meet(stage(first, "rare-tokens"), ["tok"], threshold))
+        pairs = pairs.unionByName(pairs_within(stage(first, "rare-tokens"), ["tok"], "rep", near, "size", threshold))
     return pairs.distinct()
 
 
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
-    """Pairs (a, b, similarity) of classes whose token sets have at least ``threshold`` of their union in common."""
-    pairs = candidate_pairs(classes, threshold, **kw)
-    one = classes.select(F.col("rep").alias("a"), F.col("toks").alias("toks_a"))
-    two = classes.select(F.col("rep").alias("b"), F.col("toks").alias("toks_b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("toks_a", "toks_b")))
+    """Pairs (a, b, similarity) of classes whose token sets have at least ``threshold`` of their union in common. Token
+    sets are joined by shuffle, as their files tell too little of their size to broadcast them."""
+    pairs = stage(candidate_pairs(classes, threshold, **kw), "candidate-pairs")
+    one = classes.select(F.col("rep").alias("a"), F.col("toks").alias("toks_a")).hint("merge")
+    two = classes.select(F.col("rep").alias("b"), F.col("toks").alias("toks_b")).hint("merge")
+    both = spread_join(pairs, one, ["a"])
+    both = both.join(two, "b").withColumn("common", F.size(F.array_intersect("toks_a", "toks_b")))
     union = F.size("toks_a") + F.size("toks_b") - F.col("common")
     return both.withColumn("similarity", F.col("common") / union).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
@@ -145,11 +142,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **kw) -> tupl
 
 
 def document_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Every pair of documents, within a class and between linked ones, the smaller id first."""
-    m = members.select(F.col("id").alias("x"), F.col("rep").alias("a"))
-    w = members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    within = m.join(w, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    across = links.join(m, "a").join(w, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    """Every pair of documents, within a class and between linked ones, the smaller id first. A class that holds a third of
+    all documents is paired in squares; ``document_groups`` says the same in one row a document."""
+    within = pairs_within(members, ["rep"], "id").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    m, w = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
+    across = spread_join(m, links.select("a", "b"), ["a"])
+    across = spread_join(w, across, ["b"])
+    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return within.unionByName(across)
 
 
