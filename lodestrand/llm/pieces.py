@@ -1,4 +1,5 @@
-"""Problem 3: splitting oversized contents at natural boundaries, by packing a tree of the text's structure."""
+"""Problem 3: splitting oversized contents at natural boundaries: by packing a tree of the text's structure
+(``tree_pieces``), or window by window at the coarsest separator (``window_pieces``), as ``p3_found`` fixes its cuts."""
 
 from __future__ import annotations
 
@@ -14,16 +15,14 @@ from lodestrand.llm.common import contents
 
 LIMIT, OVERLAP = 1000, 120
 SEPARATORS = ("\n\n", "\n", ". ", " ")
-#: Deeper indents count as this one, so the tree's depth is bounded.
-DEEPEST_INDENT = 40
 PIECE_FIELDS = "doc_pos long, piece_no long, char_start long, char_end long"
 
 
-class BoundaryTree:
-    """The places where a text may be cut, level by level: paragraphs, their lines, sentences, words.
+class Separators:
+    """The places where a text may be cut, as sorted lists by kind of separator: blank lines, lines, sentences, words.
 
-    A level is listed only when some window asks for it, that is when no coarser level has a place there, so words
-    are looked up in oversized sentences only.
+    A kind is listed only when some window asks for it, that is when no coarser kind has a place there, so words are
+    looked up in oversized sentences only.
     """
 
     def __init__(self, text: str, separators: tuple[str, ...] = SEPARATORS):
@@ -43,14 +42,14 @@ class BoundaryTree:
 
 
 def window_pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Consecutive pieces of at most ``limit`` characters. Siblings of the coarsest level are merged while they fit;
-    where none ends in the second half of the window, the oversized node is descended into. Pieces overlap by
-    ``overlap`` characters; a text within the limit is one piece, an empty one none."""
+    """Consecutive pieces of at most ``limit`` characters, each ending after the last separator of the coarsest kind in
+    the second half of its window. No tree is packed here. Pieces overlap by ``overlap`` characters; a text within the
+    limit is one piece, an empty one none."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be under half the limit")
-    tree, out, start = BoundaryTree(text), [], 0
+    known, out, start = Separators(text), [], 0
     while len(text) - start > limit:
-        at = (tree.last_end(k, start + limit // 2, start + limit) for k in range(len(tree.separators)))
+        at = (known.last_end(k, start + limit // 2, start + limit) for k in range(len(known.separators)))
         end = next((e for e in at if e is not None), start + limit)
         out.append((start, end))
         start = end - overlap
@@ -72,15 +71,19 @@ class Node:
 
 
 def _nest(spans: list[tuple[int, int, int]]) -> list[Node]:
-    """Nodes of (depth, start, end) spans: a span takes the deeper ones after it as children."""
+    """Nodes of consecutive (depth, start, end) spans: a span takes the deeper ones after it as children, and ends with
+    the last of them."""
     roots: list[Node] = []
     stack: list[tuple[int, Node]] = []
+    last = 0
+
+    def close(depth: int) -> None:
+        while stack and stack[-1][0] >= depth:
+            stack.pop()[1].end = last
+
     for depth, start, end in spans:
+        close(depth)
         node = Node(start, end)
-        while stack and stack[-1][0] >= depth:
-            stack.pop()
-        for _, above in stack:
-            above.end = end
         if stack:
             up = stack[-1][1]
             if not up.children:  # its own text before the first child
@@ -89,6 +92,8 @@ def _nest(spans: list[tuple[int, int, int]]) -> list[Node]:
         else:
             roots.append(node)
         stack.append((depth, node))
+        last = end
+    close(-1)
     return roots
 
 
@@ -102,7 +107,7 @@ def structure_tree(text: str) -> Node:
         if m := _HEADING.match(line):
             spans.append((int(m[2] or len(m[1])), at, end))
         elif m := _ITEM.match(line):
-            spans.append((10 + min(len(m[1].expandtabs(4)), DEEPEST_INDENT), at, end))
+            spans.append((10 + len(m[1].expandtabs(4)), at, end))
         elif spans and not blank_before and spans[-1][0] >= 10:
             spans[-1] = (spans[-1][0], spans[-1][1], end)
         else:
@@ -131,26 +136,37 @@ def _split_leaf(node: Node, text: str, limit: int) -> list[tuple[int, int]]:
 
 
 def tree_pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Pieces of a whole text along its structure: neighbouring subtrees are merged bottom-up while they stay within
-    ``limit`` - ``overlap``, and only nodes over that are descended into; each piece but the first then begins
-    ``overlap`` characters earlier. No piece is over the limit and their union is the text."""
+    """Pieces of a whole text along its structure: siblings of the tree are merged while they stay within ``limit`` -
+    ``overlap``, and only nodes over that are descended into, so what is left of an oversized section is never merged
+    with the next one; each piece but the first then begins ``overlap`` characters earlier. No piece is over the limit
+    and their union is the text."""
     body = limit - overlap
     if body < 1 or overlap < 0:
         raise ValueError("overlap must be under the limit")
-
-    def pack(node: Node) -> list[tuple[int, int]]:
+    done: list[tuple[int, int]] = []
+    todo = [structure_tree(text)]
+    while todo:  # in the order of the text; a run of small siblings stands in ``todo`` as one node without children
+        node = todo.pop()
         if node.end - node.start <= body:
-            return [(node.start, node.end)] if node.end > node.start else []
-        parts = [p for c in node.children for p in pack(c)] if node.children else _split_leaf(node, text, body)
-        merged: list[tuple[int, int]] = []
-        for s, e in parts:
-            if merged and e - merged[-1][0] <= body:
-                merged[-1] = (merged[-1][0], e)
-            else:
-                merged.append((s, e))
-        return merged
-
-    return [(max(0, s - overlap) if i else s, e) for i, (s, e) in enumerate(pack(structure_tree(text)))]
+            done += [(node.start, node.end)] if node.end > node.start else []
+        elif not node.children:
+            done += [(n.start, n.end) for n in _runs([Node(s, e) for s, e in _split_leaf(node, text, body)], body)]
+        else:
+            todo += reversed(_runs(node.children, body))
+    return [(max(0, s - overlap) if i else s, e) for i, (s, e) in enumerate(done)]
+
+
+def _runs(nodes: list[Node], body: int) -> list[Node]:
+    """Siblings in order, neighbours that fit together merged into one node; an oversized one stands by itself."""
+    out: list[Node] = []
+    for node in nodes:
+        if out and not out[-1].children and node.end - out[-1].start <= body and out[-1].end - out[-1].start <= body:
+            out[-1] = Node(out[-1].start, node.end)
+        elif node.end - node.start <= body:
+            out.append(Node(node.start, node.end))
+        else:
+            out.append(node)
+    return out
 
 
 def split(docs: DataFrame, how: Callable[[str, int, int], list[tuple[int, int]]] = window_pieces, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
