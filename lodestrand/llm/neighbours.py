@@ -1,37 +1,45 @@
 """Problem 2: the most similar vectors of every vector, by partitioned 4-bit codes and exact reranking.
 
-Rows are parted into cells around the centres of a spherical k-means. Within a cell every vector's residual is kept
-as 4-bit codes of an anisotropic product quantiser, whose loss weighs the part of the error along the vector more than
-the part across it. A query scans its nearest cells' codes by table, and the best are scored exactly.
+Rows are parted into cells around the centres of a spherical k-means, and cells that are still large once more, level by
+level, so a cell stays small however many rows there are. A vector's residual from its cell's centre is kept as 4-bit codes
+of an anisotropic product quantiser, whose loss weighs the part of the error along the vector more than the part across
+it. A query scans the codes of its nearest cells by table, and the best are scored exactly.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.session import stage
+from lodestrand.session import spread_join, stage
 
 THRESHOLD = 0.82
 K = 5
-#: The index is fitted on SAMPLE vectors of a namespace at most; every row is indexed.
+#: A level is fitted on SAMPLE rows of the part it divides at most; every row is indexed.
 SAMPLE = 16_384
 ROWS_PER_CELL = 160
-MOST_CELLS = 2_048
-MODEL_BYTES = 64 << 20
-PROBES = 3
-RERANK = 80
+#: A part is divided into FAN cells at most; a cell of over SPLIT_AT rows is divided again, up to LEVELS times.
+FAN, SPLIT_AT, LEVELS = 1_024, 8_192, 5
+#: Models of a level are sent to all executors if they are so many bytes together, else joined to the rows.
+MODEL_BYTES = 32 << 20
+#: Cells a vector is searched in at the first level, and below in each of them that is divided.
+PROBES, PROBES_BELOW = 4, 2
+RERANK = 56
 CODE_DIMS = 2
 ERROR_AT = 0.2
-#: A cell is searched in blocks of so many vectors, and so many queries at a time.
-BLOCK = 4_096
-#: A vector that occurs in more than one in HOT_PARTS of the rows is hot; there can't be HOT_PARTS of them.
-HOT_PARTS = 1_000
+#: A cell that can't be divided is searched in blocks of so many vectors, and so many queries at a time.
+BLOCK = 8_192
+#: Of a vector with more than so many copies only the first are searched.
+HOT_COPIES = 50
+#: Small tables by space or cell are broadcast up to so many rows.
+SENT_ROWS = 500_000
 
 ROW = "space string, id long, key string, hash long, dim int, v binary"
 
@@ -138,142 +146,267 @@ def _books(x: np.ndarray, base: np.ndarray, width: int, eta: float, rng: np.rand
     return books
 
 
-def _fit(budget: float):
+@dataclass(frozen=True)
+class Shape:
+    """Rows a cell is meant for, cells a part is divided into at most (FAN or fewer), rows from which a cell is divided
+    again, and the bytes of models that are broadcast."""
+
+    fill: int = ROWS_PER_CELL
+    fan: int = FAN
+    split_at: int = SPLIT_AT
+    model_bytes: int = MODEL_BYTES
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a staged table, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
+def _matrix(v: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def _fit(shape: Shape):
+    """A part's model, and the head of each of its cells: what a search of the cell needs."""
+
     def fit(table: pa.Table) -> pa.Table:
-        space, rows = table.column("space")[0].as_py(), table.column("rows")[0].as_py()
-        dim = table.column("dim")[0].as_py()
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(-1, dim)
+        space, cell, rows, dim = (table.column(c)[0].as_py() for c in ("space", "cell", "rows", "dim"))
+        x = _matrix(table.column("v"), dim)
         rng = np.random.default_rng(7)
-        cells = max(1, min(MOST_CELLS, int(rows / ROWS_PER_CELL * budget), len(x) // 8))
-        centres = _centres(x, cells, 6, rng)
+        k = max(1, min(shape.fan, -(-rows // shape.fill), len(x) // 8))
+        centres = _centres(x, k, 6, rng)
         width = CODE_DIMS if dim % CODE_DIMS == 0 else 1
         some = x[rng.permutation(len(x))[:4096]]
-        base = centres[np.argmax(some @ centres.T, axis=1)]
         eta = max(1.0, (dim - 1) * ERROR_AT**2 / (1 - ERROR_AT**2))
-        model = {"dim": dim, "centres": centres, "books": _books(some, base, width, eta, rng).astype(np.float32), "eta": eta}
-        return pa.table({"space": [space], "model": pa.array([pickle.dumps(model)], pa.binary())})
+        books = _books(some, centres[np.argmax(some @ centres.T, axis=1)], width, eta, rng).astype(np.float32)
+        bodies = [pickle.dumps((centres, books, eta))] + [pickle.dumps((c, books)) for c in centres]
+        n = len(bodies)
+        return pa.table({"space": [space] * n, "cell": [cell] * n, "sub": pa.array(range(-1, n - 1), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
     return fit
 
 
-def fit_index(vectors: DataFrame) -> dict[str, bytes]:
-    """A model for each space, fitted by the executors on at most SAMPLE of its rows. Together they take MODEL_BYTES at
-    most, the number of cells giving way, so they may be broadcast."""
-    sizes = vectors.groupBy("space", "dim").agg(F.count("*").alias("rows"))
-    need = sizes.select(F.sum(F.least(F.col("rows") / ROWS_PER_CELL, F.lit(MOST_CELLS)) * F.col("dim") * 4)).first()[0] or 0
-    share = F.col("rows") * (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / F.lit(1 << 20))
-    sample = vectors.join(F.broadcast(sizes), ["space", "dim"]).where(share < SAMPLE).select("space", "dim", "rows", "v")
-    fitted = sample.groupBy("space").applyInArrow(_fit(min(1.0, MODEL_BYTES / max(need, 1))), "space string, model binary")
-    return {r["space"]: bytes(r["model"]) for r in fitted.collect()}
+def pack_codes(codes: np.ndarray) -> np.ndarray:
+    """Two codes a byte."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, 0::2] | codes[:, 1::2] << 4
+
 
+def unpack_codes(packed: np.ndarray, parts: int) -> np.ndarray:
+    return np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, :parts]
 
-def _models(shared) -> dict[str, dict]:
-    if not hasattr(_models, "of") or _models.of[0] != shared.value.get(None):
-        _models.of = (shared.value.get(None), {k: pickle.loads(v) for k, v in shared.value.items() if k})
-    return _models.of[1]
 
+PLACED = "space string, id long, v binary, cells array<long>, codes binary, held boolean"
 
-def _assign(shared, probes: int):
-    """Each vector with the cells it is searched in, the first of which holds it."""
 
+def _placed(model: bytes, space: str, cell: int, ids: np.ndarray, v: pa.Array, held: np.ndarray, probes: int) -> pa.RecordBatch:
+    """Rows of one part with the cells of it they are searched in, nearest first, and for those it holds the codes."""
+    centres, books, eta = pickle.loads(model)
+    x = _matrix(v, centres.shape[1])
+    dots = x @ centres.T
+    n = min(probes, len(centres))
+    best = np.argpartition(-dots, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
+    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(dots, best, 1), axis=1, kind="stable"), 1)
+    packed = pack_codes(encode(x, centres[best[:, 0]], books, eta))
+    codes = [row.tobytes() if h else None for row, h in zip(packed, held)]
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, n), pa.int32()), pa.array(best.ravel().astype(np.int64) + cell * FAN))
+    return pa.RecordBatch.from_arrays([pa.array([space] * len(x), pa.string()), pa.array(ids), v, cells, pa.array(codes, pa.binary()), pa.array(held)], ["space", "id", "v", "cells", "codes", "held"])
+
+
+def _place_batches(shared, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _models(shared)
         for b in batches:
-            space = np.array(b.column("space").to_pylist(), dtype=object)
-            v, ids = b.column("v"), b.column("id").to_numpy(zero_copy_only=False)
-            for s in np.unique(space.astype(str)) if len(space) else []:
-                at = np.flatnonzero(space == s)
-                c = models[s]["centres"]
-                mine = v.take(pa.array(at))
-                x = np.frombuffer(b"".join(mine.to_pylist()), np.float32).reshape(len(at), -1)
-                dots = x @ c.T
-                n = min(probes, len(c))
-                best = np.argpartition(-dots, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-                order = np.argsort(-np.take_along_axis(dots, best, 1), axis=1, kind="stable")
-                best = np.take_along_axis(best, order, 1)
-                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * n + 1, n), pa.int32()), pa.array(best.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), cells, pa.array(ids[at]), mine], ["space", "cells", "id", "v"])
+            part = np.array([f"{c}/{s}" for s, c in zip(b.column("space").to_pylist(), b.column("cell").to_pylist())], dtype=object)
+            ids, held = b.column("id").to_numpy(zero_copy_only=False), b.column("held").to_numpy(zero_copy_only=False)
+            for p in np.unique(part.astype(str)) if len(part) else []:
+                at = np.flatnonzero(part == p)
+                cell, space = p.split("/", 1)
+                yield _placed(shared.value[space, int(cell)], space, int(cell), ids[at], b.column("v").take(pa.array(at)), held[at], probes)
+
+    return run
+
+
+def _place_group(probes: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        body = [x for x in table.column("body").to_pylist() if x is not None]
+        rows = table.filter(pa.compute.is_null(table.column("body")))
+        if not len(rows):
+            return pa.schema([("space", pa.string()), ("id", pa.int64()), ("v", pa.binary()), ("cells", pa.list_(pa.int64())), ("codes", pa.binary()), ("held", pa.bool_())]).empty_table()
+        ids, held = rows.column("id").to_numpy(), rows.column("held").to_numpy()
+        v = rows.column("v").combine_chunks()
+        v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+        return pa.Table.from_batches([_placed(body[0], rows.column("space")[0].as_py(), rows.column("cell")[0].as_py(), ids, v, held, probes)])
 
     return run
 
 
-def _search(shared, k: int, threshold: float):
+def _divide(rows: DataFrame, sizes: DataFrame, probes: int, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """(placed, heads) of ``rows`` (space, cell, id, v, held) by a model of each part of ``sizes`` (space, cell, rows),
+    fitted by the executors on SAMPLE of the rows it holds at most. Models of ``model_bytes`` together are broadcast; more
+    are sent to blocks of each part's rows."""
+    spark = rows.sparkSession
+    share = F.col("rows") * (F.pmod(F.xxhash64("id", "cell", F.lit(11)), F.lit(1 << 20)) / F.lit(1 << 20))
+    sample = rows.where("held").join(_small(sizes), ["space", "cell"]).where(share < SAMPLE)
+    sample = sample.select("space", "cell", "rows", (F.octet_length("v") / 4).cast("int").alias("dim"), "v")
+    fitted = stage(sample.groupBy("space", "cell").applyInArrow(_fit(shape), "space string, cell long, sub int, body binary"), "models")
+    models = fitted.where("sub = -1").select("space", "cell", "body")
+    heads = fitted.where("sub >= 0").select("space", (F.col("cell") * FAN + F.col("sub")).alias("cell"), F.col("body").alias("head"))
+    if (models.agg(F.sum(F.octet_length("body"))).first()[0] or 0) <= shape.model_bytes:
+        shared = spark.sparkContext.broadcast({(r["space"], r["cell"]): bytes(r["body"]) for r in models.collect()})
+        placed = stage(rows.mapInArrow(_place_batches(shared, probes), PLACED), "placed")
+        shared.destroy()
+        return placed, heads
+    blocks = sizes.select("space", "cell", F.ceil(F.col("rows") / SAMPLE).cast("int").alias("blocks"))
+    parted = rows.join(_small(blocks), ["space", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks").withColumn("body", F.lit(None).cast("binary"))
+    sent = models.join(blocks, ["space", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("space", "cell", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("v"), F.lit(False).alias("held"), "block", "body")
+    both = parted.select(*sent.columns).unionByName(sent)
+    return stage(both.groupBy("space", "cell", "block").applyInArrow(_place_group(probes), PLACED), "placed"), heads
+
+
+def _by_cell(placed: DataFrame) -> DataFrame:
+    rows = placed.select("space", "id", "v", "codes", F.col("held").alias("owned"), F.posexplode("cells").alias("no", "cell"))
+    held = F.col("owned") & (F.col("no") == 0)
+    return rows.select("space", "cell", "id", "v", F.when(held, F.col("codes")).alias("codes"), held.alias("held"))
+
+
+def index(vectors: DataFrame, probes: int = PROBES, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame]:
+    """(cells, heads) of ``vectors`` (space, id, v): every row in the one cell that holds it and in those it is searched in
+    (space, cell, id, v, codes, held), and of each cell its centre and code books (space, cell, head).
+
+    A space is one part at first. The first level sends each row to its ``probes`` nearest cells, a lower one to
+    PROBES_BELOW of each divided cell, so the work for a row grows with the number of levels only, that is with the
+    logarithm of the rows to the base FAN."""
+    rows = vectors.select("space", F.lit(0).cast("long").alias("cell"), "id", "v", F.lit(True).alias("held"))
+    sizes = stage(rows.groupBy("space", "cell").agg(F.count("*").alias("rows")), "space-sizes")
+    placed, heads = _divide(rows, sizes, probes, shape)
+    for _ in range(LEVELS - 1):
+        cells = _by_cell(placed)
+        large = cells.where("held").groupBy("space", "cell").agg(F.count("*").alias("rows")).where(F.col("rows") > shape.split_at)
+        large = stage(large, "large-cells")
+        if large.isEmpty():
+            break
+        cells = stage(cells, "cells-by-row")
+        inner = spread_join(cells, large.select("space", "cell"), ["space", "cell"]).select("space", "cell", "id", "v", "held")
+        below, more = _divide(inner, large, PROBES_BELOW, shape)
+        kept = cells.join(_small(large), ["space", "cell"], "left_anti").select("space", "id", "v", F.array("cell").alias("cells"), "codes", "held")
+        placed = stage(kept.unionByName(below), "placed")
+        heads = stage(heads.join(_small(large), ["space", "cell"], "left_anti").unionByName(more), "heads")
+    return _by_cell(placed), heads
+
+
+def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Scores (queries x vectors) of 4-bit codes by table: a table a part, or for many vectors one for two parts."""
+    parts, _, width = books.shape
+    tables = np.einsum("qpw,pcw->pqc", q.reshape(-1, parts, width), books, optimize=True)
+    score = np.zeros((len(q), len(codes)), np.float32)
+    if len(codes) < 1_024 or parts % 2:
+        for p in range(parts):
+            score += tables[p].take(codes[:, p], axis=1)
+        return score
+    for p in range(0, parts, 2):
+        two = (tables[p][:, :, None] + tables[p + 1][:, None, :]).reshape(len(q), 256)
+        score += two.take(codes[:, p].astype(np.int64) * 16 + codes[:, p + 1], axis=1)
+    return score
+
+
+def _search(k: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        model = _models(shared)[table.column("space")[0].as_py()]
-        cell, dim = table.column("cell")[0].as_py(), model["dim"]
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(-1, dim)
-        ids, held, asks = (table.column(c).to_numpy() for c in ("id", "held", "asks"))
-        db, db_ids, q, q_ids = x[held], ids[held], x[asks], ids[asks]
+        space = table.column("space")[0].as_py()
+        head = [x for x in table.column("head").to_pylist() if x is not None]
+        rows = table.filter(pa.compute.is_null(table.column("head")))
+        ids, held, asks = (rows.column(c).to_numpy() for c in ("id", "held", "asks"))
         out: list[list[np.ndarray]] = [[], [], []]
-        if len(db) and len(q):
-            books, centre = model["books"], model["centres"][cell]
-            parts, _, width = books.shape
-            codes = encode(db, np.broadcast_to(centre, db.shape), books, model["eta"])
+        if head and held.any() and asks.any():
+            centre, books = pickle.loads(head[0])
+            parts = books.shape[0]
+            x = _matrix(rows.column("v"), len(centre))
+            db, db_ids, q, q_ids = x[held], ids[held], x[asks], ids[asks]
             few = min(RERANK, len(db))
+            packed = np.frombuffer(b"".join(c for c, h in zip(rows.column("codes").to_pylist(), held) if h), np.uint8).reshape(len(db), -1)
+            codes = unpack_codes(packed, parts)
             step = max(1, (1 << 21) // len(db))
             for i in range(0, len(q), step):
                 part, part_ids = q[i : i + step], q_ids[i : i + step]
-                tables = np.einsum("qpw,pcw->pqc", part.reshape(-1, parts, width), books, optimize=True)
-                score = np.zeros((len(part), len(db)), np.float32)
-                for p in range(parts):
-                    score += tables[p][:, codes[:, p]]
-                score[part_ids[:, None] == db_ids[None, :]] = -np.inf
-                near = np.argpartition(-score, few - 1, axis=1)[:, :few] if few < len(db) else np.tile(np.arange(len(db)), (len(part), 1))
+                if few < len(db):
+                    score = scan(part, codes, books)
+                    score[part_ids[:, None] == db_ids[None, :]] = -np.inf
+                    near = np.argpartition(-score, few - 1, axis=1)[:, :few]
+                else:
+                    near = np.tile(np.arange(len(db)), (len(part), 1))
                 exact = np.einsum("qd,qfd->qf", part.astype(np.float64), db[near].astype(np.float64))
                 exact[part_ids[:, None] == db_ids[near]] = -2
-                top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+                top = np.lexsort((db_ids[near], -exact), axis=1)[:, :k]
                 value = np.take_along_axis(exact, top, 1)
-                rows, cols = np.nonzero(value >= threshold)
-                out[0].append(part_ids[rows])
-                out[1].append(db_ids[np.take_along_axis(near, top, 1)[rows, cols]])
-                out[2].append(value[rows, cols])
+                r, c = np.nonzero(value >= threshold)
+                out[0].append(part_ids[r])
+                out[1].append(db_ids[np.take_along_axis(near, top, 1)[r, c]])
+                out[2].append(value[r, c])
         a, b, c = (np.concatenate(o) if o else np.zeros(0) for o in out)
-        space = pa.array([table.column("space")[0].as_py()] * len(a), pa.string())
-        return pa.table({"space": space, "id": a.astype(np.int64), "other": b.astype(np.int64), "cosine": c.astype(np.float64)})
+        return pa.table({"space": pa.array([space] * len(a), pa.string()), "id": a.astype(np.int64), "other": b.astype(np.int64), "cosine": c.astype(np.float64)})
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = K, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
+def _copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rest, links): of every vector with more than HOT_COPIES copies all but the ``k`` + 1 smallest ids are taken out of
+    ``vectors`` and linked to the ``k`` smallest. Copies are found by hash and compared."""
+    same = vectors.groupBy("space", "hash").agg(F.count("*").alias("n"), F.min("v").alias("first")).where(F.col("n") > HOT_COPIES)
+    same = stage(same.select("space", "hash", "first"), "copied-vectors")
+    if same.isEmpty():
+        return vectors.select("space", "id", "v"), vectors.select("space", "id", F.col("id").alias("other"), F.lit(1.0).alias("cosine")).where("false")
+    copies = stage(spread_join(vectors, same, ["space", "hash"]).where("v = first").select("space", "hash", "id"), "copies")
+    ranks = Window.partitionBy("space", "hash").orderBy("id")
+    first = copies.withColumn("at", F.row_number().over(ranks)).where(F.col("at") <= k + 1)
+    first = stage(first.groupBy("space", "hash").agg(F.array_sort(F.collect_list("id")).alias("first_ids")), "first-copies")
+    left = stage(spread_join(copies, first, ["space", "hash"]).where("not array_contains(first_ids, id)"), "other-copies")
+    links = left.select("space", "id", F.explode(F.slice("first_ids", 1, k)).alias("other"), F.lit(1.0).alias("cosine"))
+    return vectors.join(left.select("space", "id"), ["space", "id"], "left_anti").select("space", "id", "v"), links
+
+
+def nearest(vectors: DataFrame, k: int = K, threshold: float = THRESHOLD, probes: int = PROBES, shape: Shape = Shape()) -> DataFrame:
     """(space, id, other, cosine): for every row of ``vectors`` (as of ``usable``) up to ``k`` most similar others of its
     space, of a cosine of at least ``threshold``; of equal cosines the smaller id comes first.
 
-    Of a vector that occurs in over a thousandth of the rows, only the ``k`` + 1 smallest ids are searched: they are the
-    nearest of all its copies, at a cosine of 1. Cells over BLOCK rows or queries are searched block by block.
+    Of a vector with more than HOT_COPIES copies, only the ``k`` + 1 smallest ids are searched: they are the nearest of
+    all its copies, at a cosine of 1. A cell of over BLOCK rows or queries is searched block by block.
     """
-    spark = vectors.sparkSession
-    rows = vectors.count()
-    copies = vectors.groupBy("space", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max(rows // HOT_PARTS, 50))
-    ranks = Window.partitionBy("space", "hash").orderBy("id")
-    first = vectors.join(F.broadcast(copies), ["space", "hash"]).withColumn("at", F.row_number().over(ranks)).where(F.col("at") <= k + 1)
-    first = stage(first.groupBy("space", "hash").agg(F.array_sort(F.collect_list("id")).alias("first_ids")), "hot-vectors")
-    marked = vectors.join(F.broadcast(first), ["space", "hash"], "left")
-    hot = marked.where("first_ids is not null and not array_contains(first_ids, id)")
-    hot = hot.select("space", "id", F.explode(F.slice("first_ids", 1, k)).alias("other"), F.lit(1.0).alias("cosine"))
-    cold = marked.where("first_ids is null or array_contains(first_ids, id)").select("space", "id", "v")
-
-    models = fit_index(vectors)
-    models[None] = repr(sorted((x, len(m), hash(m)) for x, m in models.items())).encode()
-    shared = spark.sparkContext.broadcast(models)
-    placed = stage(cold.mapInArrow(_assign(shared, probes), "space string, cells array<int>, id long, v binary"), "cells")
-    cells = placed.select("space", F.posexplode("cells").alias("no", "cell"), "id", "v").withColumn("held", F.col("no") == 0)
+    rest, links = _copies(vectors, k)
+    cells, heads = index(rest, probes, shape)
     sizes = cells.groupBy("space", "cell").agg(F.count_if("held").alias("held_rows"), F.count("*").alias("asking"))
-    parts = sizes.select("space", "cell", *[F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int").alias(f"{c}_parts") for c in ("held_rows", "asking")])
-    parted = cells.join(F.broadcast(parts), ["space", "cell"])
-    own, mine = (F.pmod(F.xxhash64("id"), F.col(f"{c}_parts")).cast("int") for c in ("held_rows", "asking"))
-    one = parted.where("held_rows_parts = 1 and asking_parts = 1").select("space", "cell", F.lit(0).alias("block"), F.lit(0).alias("part"), "id", "v", "held", F.lit(True).alias("asks"))
-    many = parted.where("held_rows_parts > 1 or asking_parts > 1")
-    asked = many.select("space", "cell", F.explode(F.sequence(F.lit(0), F.col("held_rows_parts") - 1)).alias("block"), mine.alias("part"), "id", "v", F.lit(False).alias("held"), F.lit(True).alias("asks"))
-    kept = many.where("held").select("space", "cell", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("asking_parts") - 1)).alias("part"), "id", "v", "held", F.lit(False).alias("asks"))
-    found = one.unionByName(asked).unionByName(kept).groupBy("space", "cell", "block", "part").applyInArrow(
-        _search(shared, k, threshold), "space string, id long, other long, cosine double"
-    )
+    many = sizes.where((F.col("held_rows") > BLOCK) | (F.col("asking") > BLOCK))
+    many = stage(many.select("space", "cell", *[F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int").alias(f"{c}_parts") for c in ("held_rows", "asking")]), "large-cells")
+    row, none = ["space", "cell", "block", "part", "id", "v", "codes", "held", "asks", "head"], F.lit(None)
+    zero = [F.lit(0).alias("block"), F.lit(0).alias("part")]
+
+    def as_heads(df: DataFrame, *at) -> DataFrame:
+        return df.select("space", "cell", *at, none.cast("long").alias("id"), none.cast("binary").alias("v"), none.cast("binary").alias("codes"), F.lit(False).alias("held"), F.lit(False).alias("asks"), "head")
+
+    def as_rows(df: DataFrame, asks: bool) -> DataFrame:
+        return df.withColumn("asks", F.lit(asks)).withColumn("head", none.cast("binary")).select(*row)
+
+    if many.isEmpty():
+        groups = as_rows(cells.select("*", *zero), True).unionByName(as_heads(heads, *zero))
+    else:
+        parted = cells.join(_small(many), ["space", "cell"], "left")
+        own, mine = (F.pmod(F.xxhash64("id"), F.col(f"{c}_parts")).cast("int") for c in ("held_rows", "asking"))
+        one = as_rows(parted.where("held_rows_parts is null").select("*", *zero), True)
+        large = parted.where("held_rows_parts is not null")
+        asked = large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("held_rows_parts") - 1))).withColumn("part", mine).withColumn("held", F.lit(False)).withColumn("codes", none.cast("binary"))
+        kept = large.where("held").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("asking_parts") - 1))).withColumn("block", own)
+        squares = heads.join(_small(many), ["space", "cell"], "left").select(
+            "space", "cell", F.explode(F.sequence(F.lit(0), F.coalesce("held_rows_parts", F.lit(1)) - 1)).alias("block"), F.coalesce("asking_parts", F.lit(1)).alias("parts"), "head"
+        ).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        groups = one.unionByName(as_rows(asked, True)).unionByName(as_rows(kept, False)).unionByName(as_heads(squares, "block", "part"))
+    found = groups.groupBy("space", "cell", "block", "part").applyInArrow(_search(k, threshold), "space string, id long, other long, cosine double")
     order = Window.partitionBy("space", "id").orderBy(F.desc("cosine"), "other")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
-    return top.unionByName(hot)
+    return top.unionByName(links)
 
 
-def similar_pairs(vectors: DataFrame, k: int = K, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = K, threshold: float = THRESHOLD, probes: int = PROBES, shape: Shape = Shape()) -> DataFrame:
     """(space, id_a, id_b) of vectors one of which is among the other's ``k`` nearest."""
-    near = nearest(vectors, k, threshold, probes)
+    near = nearest(vectors, k, threshold, probes, shape)
     return near.select("space", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
