@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import blank
-from lodestrand.session import stage
+from lodestrand.session import spread_join, stage
 
 SEED_WORDS, RUN_WORDS = 5, 13
 MATCH, MISS, GAP = 2, -1, -1
-#: Items are taken in blocks of so many at most; a block's seeds and words are all that is ever broadcast.
-BLOCK_ITEMS = 2_000
-BLOCK_WORDS = 400_000
+#: Bits of the filter that documents are read through, for each seed and at most, and the bits a seed sets. More seeds
+#: than there is room for make it let more through.
+SEED_BITS, MOST_BITS, PLACES = 64, 1 << 28, 6
+KNOWN_WORDS = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 FIELDS = "doc_id long, item_id long, score int, run int, item_words int, covered double"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
@@ -29,41 +31,96 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def item_grams(items: DataFrame, n: int = SEED_WORDS) -> DataFrame:
-    """(item_id, size, pos, gram): the word n-grams of each item; an item of fewer words is one gram. Items with null
-    id or without a word don't count; of rows with one id the greatest text holds."""
+class _Words(dict):
+    """Hashes of words, each worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_known = _Words()
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` of the word hashes (uint64), in order."""
+    if len(hashes) < n:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(hashes) - n + 1, np.uint64)
+    for i in range(n):
+        total = total * _STEP + hashes[i : len(hashes) - n + 1 + i]
+    total = (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(29))
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An item's words, their number, the length of its seeds and their hashes; nothing of an item without a word."""
+    for b in batches:
+        out: list[list] = [[], [], [], [], []]
+        for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            own = words(text)
+            if own:
+                n = min(SEED_WORDS, len(own))
+                grams = np.unique(gram_hashes(np.array([_known[w] for w in own], np.uint64), n)).view(np.int64)
+                for to, v in zip(out, (item_id, " ".join(own), len(own), n, grams)):
+                    to.append(v)
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["item_id", "item", "size", "n", "seeds"])
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(item_id, item, size, n, seeds): the words of each item, a blank between, and the hashes of its word 5-grams; an
+    item of fewer words is one gram. Items with null id or without a word don't count; of rows with one id the greatest
+    text holds."""
     once = items.where(F.col("item_id").isNotNull() & ~blank(F.col("text"))).groupBy("item_id").agg(F.max("text").alias("text"))
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    sized = once.select("item_id", w.alias("w")).withColumn("size", F.size("w")).where("size > 0")
-    starts = F.sequence(F.lit(0), F.greatest(F.col("size") - n, F.lit(0)))
-    grams = F.transform(starts, lambda p: F.concat_ws(" ", F.slice("w", p + 1, n)))
-    return sized.select("item_id", "size", "w", F.posexplode(grams).alias("pos", "gram"))
+    return once.select(F.col("item_id").cast("long"), "text").mapInArrow(_seeds, "item_id long, item string, size int, n int, seeds array<long>")
+
 
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A Bloom filter of all ``seeds`` (seed), as bytes: SEED_BITS bits for each, MOST_BITS at most, which bounds what
+    comes to the driver and goes to the executors. It lets every seed through, and some others."""
+    bits = 1 << 16
+    while bits < min(MOST_BITS, seeds.count() * SEED_BITS):
+        bits *= 2
+    places = F.explode(F.array(*[F.shiftrightunsigned("seed", 7 * i).bitwiseAND(F.lit(bits - 1).cast("long")) for i in range(PLACES)]))
+    slots = seeds.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[slots.column("slot").to_numpy()] = slots.column("mask").to_numpy()
+    return out.view(np.uint8)
 
-def seed_hits(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(doc_id, words, hits) of every document that holds one of ``grams``: its words, one blank between, and the
-    numbers of the grams in it. One pass over the text by an automaton of all grams; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
+
+def seed_hits(docs: DataFrame, filter_: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(doc_id, line, hits) of every document that holds a gram which the filter lets through: its words, one blank
+    between, and the hashes of those grams. One pass over whole texts, however many items there are; nothing is
+    shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+        table = shared.value
+        bits = len(table) * 8
+
+        def passing(grams: np.ndarray) -> np.ndarray:
+            for i in range(PLACES):  # each place is looked up for what the last ones let through
+                place = (grams >> np.uint64(7 * i)) & np.uint64(bits - 1)
+                grams = grams[((table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+            return grams
 
-        auto = ahocorasick.Automaton()
-        for i, g in enumerate(shared.value):
-            auto.add_word(f" {g} ", i)
-        auto.make_automaton()
         for b in batches:
-            ids, texts, hits = [], [], []
+            ids, lines, hits = [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                line = f" {' '.join(_WORD.findall(text.lower()))} "
-                if found := {i for _, i in auto.iter(line)}:
+                own = words(text)
+                hashes = np.fromiter(map(_known.__getitem__, own), np.uint64, len(own))
+                found = np.unique(np.concatenate([passing(gram_hashes(hashes, n)) for n in sizes]))
+                if len(found):
                     ids.append(doc_id)
-                    texts.append(line)
-                    hits.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "words", "hits"])
+                    lines.append(" ".join(own))
+                    hits.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "line", "hits"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(scan, "doc_id long, words string, hits array<int>")
+    return rows.mapInArrow(scan, "doc_id long, line string, hits array<long>")
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
@@ -80,27 +137,26 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     return score, run
 
 
-def _aligned(items: dict[int, list[str]], seeds: dict[int, list[int]], least_share: float):
+def _aligned(least_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}
-        coded = {k: np.array([number.setdefault(w, len(number)) for w in ws]) for k, ws in items.value.items()}
         for b in batches:
-            out = []
-            for doc_id, line, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if not (found := {i for g in hits for i in seeds.value.get(g, ())}):
-                    continue
-                doc = np.array([number.get(w, -1) for w in line.split()])
+            out, last, doc_words = [], None, []
+            for doc_id, line, item_id, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "line", "item_id", "item"))):
+                if doc_id != last:
+                    last, doc_words = doc_id, line.split()
+                number: dict[str, int] = {}
+                coded = np.array([number.setdefault(w, len(number)) for w in item.split()])
+                doc = np.array([number.get(w, -1) for w in doc_words])
+                size = len(coded)
                 held = np.zeros(len(number) + 1, bool)
                 held[doc] = True
                 held[-1] = False
-                for i in found:
-                    size = len(coded[i])
-                    least = MATCH * min(RUN_WORDS, least_share * size)
-                    if MATCH * held[coded[i]].sum() < least:
-                        continue  # no alignment scores more than all words in common
-                    score, longest = align(coded[i], doc)
-                    if score >= least:
-                        out.append((doc_id, i, score, longest, size, score / (MATCH * size)))
+                least = MATCH * min(RUN_WORDS, least_share * size)
+                if MATCH * held[coded].sum() < least:
+                    continue  # no alignment scores more than all words in common
+                score, longest = align(coded, doc)
+                if score >= least:
+                    out.append((doc_id, item_id, score, longest, size, score / (MATCH * size)))
             cols = list(zip(*out)) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "score", "run", "item_words", "covered"])
@@ -116,26 +172,21 @@ def alignments(docs: DataFrame, items: DataFrame, least_share: float = 0.6) -> D
     consecutive words of an item, or all of a shorter one, is never missed. Every word 5-gram of an item is a seed, however
     many documents hold it; a document without any of them in common isn't aligned. Documents with null id or text and items
     without a word give no row; whole texts are read, markup included. With no items the result is empty.
+
+    Documents are read once, through a filter of all seeds; what passes is joined with the items by the seeds' hashes, and
+    every pair of document and item is aligned. Seeds and items that a third of all documents hold are joined in parts.
     """
-    spark = docs.sparkSession
-    grams = stage(item_grams(items), "item-grams")
-    sizes = grams.where("pos = 0").select("item_id", "size")
-    total = sizes.agg(F.count("*"), F.sum("size")).first()
-    blocks = max(-(-total[0] // BLOCK_ITEMS), -(-(total[1] or 0) // BLOCK_WORDS))
-    found: DataFrame | None = None
-    for k in range(blocks):
-        part = grams.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        texts = [r["gram"] for r in part.select("gram").distinct().orderBy("gram").collect()]
-        hits = stage(seed_hits(docs, texts), "seed-hits")
-        at = {g: i for i, g in enumerate(texts)}
-        seeds = defaultdict(list)
-        for r in part.select("item_id", "gram").distinct().collect():
-            seeds[at[r["gram"]]].append(r["item_id"])
-        whole = {r["item_id"]: r["w"] for r in part.where("pos = 0").select("item_id", "w").collect()}
-        sc = spark.sparkContext
-        rows = hits.mapInArrow(_aligned(sc.broadcast(whole), sc.broadcast(dict(seeds)), least_share), FIELDS)
-        found = rows if found is None else found.unionByName(rows)
-    return found if found is not None else spark.createDataFrame([], FIELDS)
+    known = stage(item_seeds(items), "item-seeds")
+    seeds = stage(known.select("item_id", F.explode("seeds").alias("seed")), "seeds")
+    sizes = [r["n"] for r in known.select("n").distinct().collect()]  # SEED_WORDS numbers at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], FIELDS)
+    hits = stage(seed_hits(docs, seed_filter(seeds.select("seed").distinct()), sizes), "seed-hits")
+    met = stage(hits.select("doc_id", F.explode("hits").alias("seed")), "hits-by-seed")
+    pairs = stage(spread_join(met, seeds, ["seed"]).select("doc_id", "item_id").distinct(), "documents-and-items")
+    pairs = spread_join(pairs, known.select("item_id", "item"), ["item_id"])
+    rows = pairs.join(hits.select("doc_id", "line"), "doc_id").select("doc_id", "line", "item_id", "item")
+    return rows.mapInArrow(_aligned(least_share), FIELDS)
 
 
 def exact_leaks(aligned: DataFrame) -> DataFrame:
