@@ -35,8 +35,12 @@ def runs(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+_TOKEN = "(?<![a-z0-9])(?!(?:" + "|".join(vocab.STOP_WORDS) + ")(?![a-z0-9]))[a-z0-9]+"
+
+
 def tokens(c: Column) -> Column:
-    return F.filter(runs(c), lambda t: ~F.array_contains(lit_list(vocab.STOP_WORDS), t))
+    """The runs but for the stop words."""
+    return F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), F.lit(0))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
