@@ -122,7 +122,7 @@ _ADAPTIVE_RECORDS = f"""WITH RECURSIVE {P.QUESTIONS}, {P.CORPUS}, {_POL}, {_ROUT
  UNION ALL SELECT query_id, {P.quoted(V.EVIDENCE_ABSTENTION)}, false, false, confidence, source, reasoning, 'decision_only', 'none', NULL, {_NOTHING}, NULL, {len(V.ROUTER_SKIPPED)}::BIGINT, {_ZEROS}, 'abstained', 1.0::DOUBLE, '', {_USED}, 1::BIGINT, 1::BIGINT FROM rt JOIN pol USING (query_id) WHERE NOT blocked AND NOT needs_retrieval"""
 
 
-def _shown(records_: DataFrame) -> DataFrame:
+def shown(records_: DataFrame) -> DataFrame:
     rounded = {c: F.round(c, 6) for c in ("max_relevance", "avg_relevance", "duplicate_rate")}
     return records_.withColumns(rounded).withColumn("unsupported", F.array_join("unsupported", "|")).select(
         "query_id", "answer", "blocked", "needs_retrieval", "confidence", "decision_source", "reasoning", "stage", "strategy", "quality", "max_relevance", "avg_relevance", "suspicious", "duplicate_rate",
@@ -130,14 +130,20 @@ def _shown(records_: DataFrame) -> DataFrame:
     )
 
 
+def items_answered() -> str:
+    """The baseline's records of the held-out items' questions."""
+    asked_ = f"asked AS (SELECT item_id AS query_id, {P.strip('question')} AS query FROM eval_items)"
+    return _BASELINE_RECORDS.replace(P.QUESTIONS, asked_)
+
+
 @query(_BASELINE_RECORDS)
 def baseline_answer(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(pipelines.baseline_answer(asked(spark, d).select("query_id", "query"), index(spark, d, V.CHILD_CHUNK)))
+    return shown(pipelines.baseline_answer(asked(spark, d).select("query_id", "query"), index(spark, d, V.CHILD_CHUNK)))
 
 
 @query(_ADAPTIVE_RECORDS)
 def adaptive_answer(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(pipelines.adaptive_answer(asked(spark, d).select("query_id", "query"), index(spark, d, V.PARENT_CHUNK)))
+    return shown(pipelines.adaptive_answer(asked(spark, d).select("query_id", "query"), index(spark, d, V.PARENT_CHUNK)))
 
 
 def _rows(spark: SparkSession, d: str, model: str) -> DataFrame:
@@ -245,3 +251,15 @@ def empty_summary(spark: SparkSession, d: str) -> DataFrame:
     none = _rows(spark, d, "baseline").where("false")
     out = evaluation.summary(none)
     return out.select(F.col("em").cast("string").alias("em"), F.col("f1").cast("string").alias("f1"), "num_examples", F.lit(len(out.columns)).alias("measures"))
+
+
+@query(f"SELECT (SELECT count(*) FROM ({_rows_sql('baseline', _BASELINE_RECORDS)})) AS rows, num_examples, em FROM ({SQL['evaluation_summary']})")
+def details_export(spark: SparkSession, d: str) -> DataFrame:
+    """Summary and rows written as JSON, twice, and the last of them read back."""
+    rows = _rows(spark, d, "baseline")
+    path = f"{records.shared_dir(spark)}/stage/details"
+    sinks.write_details(evaluation.summary(rows.limit(1)), rows.limit(1), path)
+    sinks.write_details(evaluation.summary(rows), rows, path)
+    at = sinks.current(spark, path)
+    count = spark.read.schema("index long").json(f"{at}/rows").agg(F.count("*").alias("rows"))
+    return count.crossJoin(spark.read.schema("num_examples long, em double").json(f"{at}/summary"))

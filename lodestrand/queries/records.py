@@ -65,6 +65,27 @@ def release_manifest(spark: SparkSession, d: str) -> DataFrame:
     return sinks.manifest(corpus(spark, d).select(F.col("doc_id").alias("path"), "content"))
 
 
+@query(
+    f"WITH {P.CORPUS}, kept AS (SELECT doc_id, any_value(content) AS content FROM corpus GROUP BY doc_id HAVING count(*) = 1) SELECT doc_id AS path, CASE WHEN length(content) > 2000 THEN 'missing' WHEN length(content) > 1500 THEN 'changed' ELSE 'unexpected' END AS difference FROM kept WHERE length(content) > 1500 OR length(content) < 100"
+)
+def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against a manifest of them without the short ones, after the longest are gone and some long ones altered."""
+    one = corpus(spark, d).groupBy("doc_id").agg(F.first("content").alias("content"), F.count("*").alias("n")).where("n = 1").select(F.col("doc_id").alias("path"), "content")
+    size = F.length("content")
+    now = one.where(size <= 2000).withColumn("content", F.when(size > 1500, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return sinks.verify(now, sinks.manifest(one.where(size >= 100)))
+
+
+@query(f"WITH {P.CORPUS} SELECT pos, content, doc_id, title, source, url FROM corpus")
+def json_records(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus' records written as JSON lines and read back under the schema of records."""
+    path = f"{shared_dir(spark)}/stage/records-{uuid.uuid4().hex}"
+    rows = corpus(spark, d).select(F.format_string("%d", "pos").alias("text"), F.col("content").alias("body"), F.struct("content").alias("ignored"), "doc_id", "title", "source", "url")
+    rows.write.json(path)
+    back = D.read_records(spark, path, D.RECORD_SCHEMA).select(F.col("text").cast("long").alias("pos"), "body", "doc_id", "title", "source", "url")
+    return D.normalize(stage(back, "read-records"), "pos").select("pos", "content", "doc_id", "title", "source", "url")
+
+
 @query(
     f"WITH {P.CORPUS}, {P.WITH_METADATA}, rows AS (SELECT pos, sha256(concat_ws(chr(0), content, doc_id, coalesce(title, ''), coalesce(source, ''), coalesce(url, ''), array_to_string(pairs, chr(0)))) AS h FROM described), "
     "up AS (SELECT pos // 4096 AS no, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM rows GROUP BY 1) "
@@ -197,7 +218,14 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return sample(spark, samples.SECRETS, "id int, text string").select("id", F.explode(T.secrets(F.col("text"))).alias("label"))
 
 
-@query()
+_LABELS = ", ".join(
+    f"CASE WHEN {c} THEN {P.quoted(k)} END" for k, c in (
+        (k, f"regexp_matches(text, {P.quoted(p)})" if k != "assigned provider key" else f"(regexp_matches(text, {P.quoted(_ASSIGNED)}) AND NOT regexp_matches(text, {P.quoted(_DUMMY)}))") for k, p in V.SECRET_PATTERNS.items()
+    )
+)
+
+
+@query(f"SELECT key, array_to_string(list_filter([{_LABELS}], lambda x: x IS NOT NULL), ',') AS labels FROM (SELECT 's' || id AS key, text FROM {P.values(samples.SECRETS)} s(id, text) UNION ALL SELECT 'd' || doc_id, coalesce(text, '') FROM documents)")
 def secret_report(spark: SparkSession, d: str) -> DataFrame:
     """A row for each sample and each document, with the labels of what it holds."""
     own = sample(spark, samples.SECRETS, "id long, text string").select(F.concat(F.lit("s"), "id").alias("key"), "text")

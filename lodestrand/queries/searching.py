@@ -12,7 +12,7 @@ from lodestrand.plans import pipelines, routing
 from lodestrand.queries import sqlparts as P
 from lodestrand.queries.questions import asked
 from lodestrand.queries.records import _chunk_sql, corpus
-from lodestrand.queries.registry import query
+from lodestrand.queries.registry import SQL, query
 from lodestrand.queries.words import HASHED, TF
 from lodestrand.session import stage, table
 
@@ -248,3 +248,15 @@ def extract_parts(source: str) -> str:
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     built = context.compressed_context(_top_docs(spark, d), ["query_id"])
     return grounding.extractive_answer(items(spark, d).join(built, "query_id"), ["query_id"])
+
+
+@query(
+    f"SELECT 'sentences' AS kind, query_id, context, selected FROM ({SQL['compressed_context']}) UNION ALL SELECT 'documents', query_id, context, 0 FROM ({SQL['evidence_block']}) "
+    f"UNION ALL SELECT 'none', query_id, '', 0 FROM ({SQL['compressed_context']})"
+)
+def context_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts in their three kinds: chosen sentences, whole documents, none for want of a budget."""
+    docs = stage(_top_docs(spark, d), "top-documents")
+    kinds = {"sentences": context.extract(docs, ["query_id"], 600), "documents": context.extract(docs, ["query_id"], 700, compress=False), "none": context.extract(docs, ["query_id"], 0)}
+    parts = [df.select(F.lit(kind).alias("kind"), "query_id", "context", "selected") for kind, df in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -18,9 +18,24 @@ RECORD_SCHEMA = (
 NUMBER_SPAN = 65_536
 
 
+def _is_array(spark: SparkSession, path: str) -> bool:
+    """Whether the JSON at ``path`` begins with a list, by the first bytes of its first file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.listStatus(at) if f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+    if not files:
+        return False
+    stream = fs.open(files[0])
+    try:
+        return bytes(stream.readNBytes(256)).decode("utf-8", "replace").lstrip("\ufeff \t\r\n").startswith("[")
+    finally:
+        stream.close()
+
+
 def read_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    """Records of a JSON array or of JSON lines under an explicit schema; a missing path is an error."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Records of JSON arrays, each of which is read by one task, or of JSON lines, which are read in parts, under an
+    explicit schema. A missing path is an error."""
+    return spark.read.schema(schema).option("multiLine", _is_array(spark, path)).json(path)
 
 
 def _as_text(rows: DataFrame, name: str) -> Column:

@@ -22,6 +22,16 @@ def test_shapes_of_records(spark, tmp_path):
     assert got["four"]["doc_id"] == "mine" and got["one"]["label"] == "corpus-doc-0000"
 
 
+def test_arrays_and_lines_of_records(spark, tmp_path):
+    rows = [{"text": "one"}, {"text": "two"}]
+    (tmp_path / "a.json").write_text("\n" + json.dumps(rows, indent=1))
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    for name in ("a.json", "b.jsonl"):
+        assert sorted(r["text"] for r in D.read_records(spark, str(tmp_path / name)).collect()) == ["one", "two"]
+    with pytest.raises(Exception):
+        D.read_records(spark, str(tmp_path / "none.json"))
+
+
 def test_positions_count_kept_documents(spark):
     docs = spark.createDataFrame([(0, " "), (70_000, "a"), (3, "b"), (140_001, "c")], "pos long, text string")
     assert {r["content"]: r["doc_id"] for r in D.normalize(docs, "pos").collect()} == {"b": "corpus-doc-0000", "a": "corpus-doc-0001", "c": "corpus-doc-0002"}
