@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.functions.vocab import STOP_WORDS
 from lodestrand.session import stage
 
 #: Groups are paired in squares of so many members a side.
 PAIR_BLOCK = 2_000
 
-# The words that are no tokens (TESTDATA.md, common terms).
-STOP_WORDS = tuple(
-    "a an the and or but if then of in on to for from by with about as is are was were be been being "
-    "do does did what which who whom whose where when why how many much".split()
-)
-
-
 def blank(c: Column) -> Column:
     """True for null and for texts of white space only."""
     return c.isNull() | ~c.rlike(r"(?U)\S")
@@ -36,11 +30,18 @@ def contents(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return rows.select("doc_pos", "content", *[F.col("_extra")[c].alias(c) for c in extra])
 
 
+_TOKEN = "(?<![a-z0-9])(?!(?:" + "|".join(STOP_WORDS) + ")(?![a-z0-9]))[a-z0-9]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9 but for the stop words, in the order of the text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+
+
+def token_set(text: Column) -> Column:
+    """The distinct tokens."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(runs, lambda t: ~F.array_contains(stop, t))
+    return F.array_except(runs, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def letters(text: Column) -> Column:
