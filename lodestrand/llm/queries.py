@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm import distinctive, format_dup, leakage, near_dup, neighbours, packing, pieces, spam, term_counts
+from lodestrand.llm.common import contents
 from lodestrand.session import stage, table
 
 
@@ -31,6 +32,23 @@ def p3_structure(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces_with_metadata(table(spark, d, "corpus_docs"), pieces.tree_pieces)
 
 
+def p3_structure_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What ``p3_structure`` must hold, by document: characters covered, pieces over the limit, gaps, overlaps other than
+    the one set, pieces whose text or metadata isn't the document's."""
+    docs = table(spark, d, "corpus_docs")
+    whole = contents(docs, ("metadata",)).withColumnsRenamed({"metadata": "own"})
+    rows = p3_structure(spark, d).join(whole, "doc_pos")
+    before = F.lag("char_end").over(Window.partitionBy("doc_pos").orderBy("piece_no"))
+    text = F.expr("substring(content, cast(char_start + 1 as int), cast(char_end - char_start as int))")
+    as_json = lambda c: F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit(""))
+    rows = rows.withColumn("start", F.coalesce(F.greatest(before - pieces.OVERLAP, F.lit(0)), F.lit(0)))
+    wrong = (F.col("piece") != text) | (as_json(F.col("metadata")) != as_json(F.col("own")))
+    return rows.groupBy("doc_pos").agg(
+        F.max("char_end").alias("covered"), F.count_if(F.col("char_end") - F.col("char_start") > pieces.LIMIT).alias("over_limit"),
+        F.count_if(F.col("char_start") != F.col("start")).alias("misplaced"), F.count_if(wrong).alias("altered"),
+    )
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.top_terms(table(spark, d, "corpus_docs"), method="bm25").select("doc_pos", "term")
 
@@ -66,6 +84,10 @@ def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    return packing.window_checks(stage(p7_windows(spark, d), "windows"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.exact_leaks(leakage.alignments(table(spark, d, "documents"), table(spark, d, "eval_items")))
 

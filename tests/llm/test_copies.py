@@ -4,9 +4,11 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.llm import format_dup, near_dup
+from lodestrand.llm.common import pairs_within
 from lodestrand.llm.components import components
 
 
@@ -49,6 +51,22 @@ def test_hot_buckets_lose_nothing(spark):
     assert found(spark, rows, hot=1) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [3, 5, None])
+def test_squares_pair_everything_once(spark, block):
+    rows = spark.createDataFrame([(i % 3 if i < 20 else 9, i, 1 + i % 7) for i in range(30)], "k int, rep long, size int")
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * 0.7
+    got = sorted(tuple(r) for r in pairs_within(rows, ["k"], "rep", near, "size", 0.7, block).collect())
+    known = [r.asDict() for r in rows.collect()]
+    assert got == [(x["rep"], y["rep"]) for x in known for y in known if x["k"] == y["k"] and x["rep"] < y["rep"] and min(x["size"], y["size"]) >= max(x["size"], y["size"]) * 0.7]
+
+
+def test_templates_in_crowded_buckets(spark, monkeypatch):
+    """All tokens are common: what the texts differ by is common too."""
+    rows = [(i, " ".join([f"t{j}" for j in range(30)] + [f"v{(i + j) % 6}" for j in range(4)])) for i in range(40)]
+    monkeypatch.setattr(near_dup, "pairs_within", lambda *a: pairs_within(*a, 4) if len(a) == 6 else pairs_within(*a))
+    assert found(spark, rows, hot=1) == brute(rows)
+
+
 def test_no_documents(spark):
     assert found(spark, []) == set()
 

@@ -86,6 +86,18 @@ def test_tree_keeps_sections_whole():
     assert [text[s:e].lstrip()[:5] for s, e in pieces.tree_pieces(text, 100, 0)] == ["# One", "# Two"]
 
 
+def test_what_is_left_of_a_section_stays_apart():
+    text = "# One\n" + "a b c d. " * 13 + "\n# Two\nshort.\n"
+    got = [text[s:e] for s, e in pieces.tree_pieces(text, 100, 0)]
+    assert got[-1] == "# Two\nshort.\n" and "".join(got) == text
+
+
+def test_trees_of_any_depth():
+    text = "".join(" " * i + "- item\n" for i in range(3000))
+    got = pieces.tree_pieces(text, 5000, 0)
+    assert "".join(text[s:e] for s, e in got) == text and max(e - s for s, e in got) <= 5000
+
+
 DOCS = "doc_pos long, content string, metadata map<string,string>, ingested_at timestamp, term string, piece_no int, score int"
 
 

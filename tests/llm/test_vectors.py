@@ -1,6 +1,7 @@
 """Problem 2 against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.llm import neighbours
@@ -48,6 +49,38 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert pairs(table) == one
 
 
+@pytest.mark.parametrize("model_bytes", [1 << 25, 0])
+def test_levels_of_cells(spark, model_bytes):
+    """Cells are divided three times over, with models broadcast and with models joined to blocks of rows."""
+    x = clustered(2000, 32, 6)
+    shape = neighbours.Shape(fill=20, fan=4, split_at=60, model_bytes=model_bytes)
+    want, got = brute(x), pairs(rows(spark, [(i, v.tolist()) for i, v in enumerate(x)]), shape=shape)
+    assert len(want & got) / len(want) >= 0.95 and len(got - want) <= 0.05 * len(want)
+    table = neighbours.usable(rows(spark, [(i, v.tolist()) for i, v in enumerate(x)])).select("space", "id", "v")
+    cells, heads = neighbours.index(table, shape=shape)
+    held = cells.where("held")
+    assert held.count() == held.select("id").distinct().count() == 2000 and held.where("codes is null").count() == 0
+    assert cells.groupBy("space", "cell").count().join(heads, ["space", "cell"], "left_anti").count() == 0
+    assert held.groupBy("cell").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_equal_hashes_of_different_vectors(spark):
+    """Copies are told by the vector, not by its hash."""
+    x = clustered(120, 8, 3)
+    table = neighbours.usable(rows(spark, [(i, v.tolist()) for i, v in enumerate(x)])).withColumn("hash", F.lit(1).cast("long"))
+    got = {(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(table).collect()}
+    want = brute(x)
+    assert len(want & got) / len(want) >= 0.97
+
+
+def test_scans_of_one_and_two_parts_agree():
+    rng = np.random.default_rng(5)
+    books, codes, q = rng.normal(size=(8, 16, 2)).astype(np.float32), rng.integers(0, 16, (1500, 8)).astype(np.uint8), rng.normal(size=(3, 16)).astype(np.float32)
+    full = np.concatenate([books[p][codes[:, p]] for p in range(8)], axis=1)
+    assert np.allclose(neighbours.scan(q, codes, books), q @ full.T, atol=1e-4) and np.allclose(neighbours.scan(q, codes[:50], books), q @ full[:50].T, atol=1e-4)
+    assert (neighbours.unpack_codes(neighbours.pack_codes(codes[:, :7]), 7) == codes[:, :7]).all()
+
+
 def test_unusable_vectors(spark):
     good = [1.0, 2.0, 3.0, 4.0]
     odd = [None, [], [1.0, 2.0], [0.0] * 4, [1.0, float("nan"), 1.0, 1.0], [1.0, float("inf"), 1.0, 1.0], [1.0, None, 1.0, 1.0]]

@@ -86,6 +86,16 @@ def brute_align(a, b):
     return h.max()
 
 
+def test_segments_stand_on_the_pages_they_reach():
+    segments = np.array([(5, 0, 3, 0, 0), (5, 3, 40, 3, 0), (5, 40, 41, 40, 0), (7, 0, 9, 50, 5)])
+    width, pages = packing._pages(segments, {5: 41, 7: 9})
+    rows = pages.to_pylist()
+    assert width == {5: 14, 7: 9} and len(rows) <= 2 * len(segments)
+    for size, n in ((5, 41), (7, 9)):
+        for k in range(n):
+            assert sum(r["size"] == size and r["page"] == k // width[size] and r["lo"] <= k < r["hi"] for r in rows) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), min_size=1, max_size=20))
 def test_alignment_matches_brute_force(a, b):
@@ -124,8 +134,9 @@ def test_edited_copy_of_a_hot_item(spark):
     assert exact == {(i, 1) for i in range(250)} and aligned == exact | {(999, 1)}
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 3)
+@pytest.mark.parametrize("bits", [1 << 16, 64])
+def test_many_items_and_a_full_filter(spark, monkeypatch, bits):
+    monkeypatch.setattr(leakage, "MOST_BITS", bits)
     items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(10)]
     exact, _ = leaks(spark, [(i, f"x a{i} b{i} c{i} d{i} e{i} f{i} y") for i in range(10)], items)
     assert exact == {(i, i) for i in range(10)}
@@ -186,6 +197,52 @@ def test_no_spam(name):
     assert not spam.measure(FINE[name]).spam
 
 
+FOREIGN = {
+    "italian": "Il consiglio comunale ha deciso di ricostruire il vecchio ponte sul fiume perché le piene avevano danneggiato le arcate. Gli abitanti hanno protestato contro la chiusura del mercato e chiedono una nuova strada. La biblioteca resta aperta ogni giorno fino alle otto di sera.",
+    "polish": "Rada miasta postanowiła odbudować stary most nad rzeką, ponieważ powodzie uszkodziły jego łuki. Mieszkańcy protestowali przeciwko zamknięciu targu i domagają się nowej drogi. Biblioteka jest otwarta codziennie do ósmej wieczorem, a muzeum zamyka się wcześniej.",
+    "russian": "Городской совет решил восстановить старый мост через реку, потому что наводнения повредили его арки. Жители протестовали против закрытия рынка и требуют новую дорогу. Библиотека открыта каждый день до восьми вечера.",
+    "dutch": "De gemeenteraad besloot de oude brug over de rivier te herstellen omdat de overstromingen de bogen hadden beschadigd. De bewoners protesteerden tegen de sluiting van de markt en eisen een nieuwe weg.",
+    "portuguese": "A câmara municipal decidiu reconstruir a velha ponte sobre o rio porque as cheias tinham danificado os arcos. Os moradores protestaram contra o encerramento do mercado e pedem uma nova estrada.",
+    "python": "def load(path):\n    with open(path) as handle:\n        rows = json.load(handle)\n    for row in rows:\n        yield row['key'], row.get('value', 0)\n\nclass Reader:\n    def __init__(self, name):\n        self.name = name\n        self.count = 0\n",
+    "java": "public class Reader {\n    private int count = 0;\n    public int next() {\n        count += 1;\n        return count;\n    }\n}\n",
+}
+FOREIGN_LISTS = {
+    "italian": "pane fresco, caffè espresso, pizza margherita, gelato artigianale, vino rosso, olio extravergine, formaggio stagionato, pasta fresca, dolci siciliani",
+    "russian": "\n".join(f"купить лодку дёшево {i}" for i in range(12)),
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_prose_of_other_languages_and_code_are_no_lists(name):
+    assert not spam.measure(f"{FOREIGN[name]} " * 2).spam and not spam.measure(FOREIGN[name]).spam
+
+
+@pytest.mark.parametrize("name", FOREIGN_LISTS)
+def test_lists_of_other_languages_are(name):
+    assert spam.measure(FOREIGN_LISTS[name]).spam
+
+
+def test_open_tags_and_brackets_take_no_longer():
+    import time
+
+    began = time.time()
+    for text in ("<a href=x> word " * 30000, "<a " * 60000, "[" * 100000, "[word](" * 30000, "https://x.example/" * 5000):
+        spam.measure(text)
+    assert time.time() - began < 30
+
+
+def test_shares_are_fitted_by_language(spark):
+    rng = random.Random(4)
+    words = [f"noun{i}" for i in range(200)]
+    sentence = lambda few: " ".join(w for k in range(8) for w in ([rng.choice(few)] if k % 2 else []) + [rng.choice(words)]) + ". "
+    pages = [(i, "".join(sentence(["the", "of", "and"]) for _ in range(8)), "EN ") for i in range(300)] + [(1000 + i, "".join(sentence(["der", "und"]) for _ in range(4)), "de") for i in range(20)]
+    pages += [(2000 + i, ", ".join(rng.sample(words, 30)), "en") for i in range(40)] + [(3000, None, "en"), (3001, "x", None)]
+    shares, errors = spam.fit_shares(spark.createDataFrame(pages, "doc_id long, text string, lang string"))
+    assert shares["en"] == pytest.approx(0.8 / 3, abs=0.01) and errors["en"] < 0.02
+    assert shares["de"] == spam.SENTENCE_SHARE["de"] and "de" not in errors
+    assert spam.fit_shares(spark.createDataFrame([], "doc_id long, text string, lang string"))[0] == spam.SENTENCE_SHARE
+
+
 def test_scan_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, PAGES["links"] * 300), (4, PROSE * 1000), (None, PAGES["tags"]), (5, PAGES["tags"])]
     table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as words", "'x' as spam")
