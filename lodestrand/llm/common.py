@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.vocab import STOP_WORDS
-from lodestrand.session import stage
+from lodestrand.session import spread, stage
 
 #: Groups are paired in squares of so many members a side.
 PAIR_BLOCK = 2_000
@@ -16,6 +16,20 @@ def blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
+#: Keys that repeat are broadcast up to so many.
+SENT_KEYS = 500_000
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_pos, content) as of ``contents``, the texts staying where they are read: first the keys that repeat are found,
+    and only their rows are brought together. Beyond SENT_KEYS of these all rows meet them by shuffle."""
+    kept = spread(docs.where(F.col("doc_pos").isNotNull() & ~blank(F.col("content"))).select("doc_pos", "content"))
+    twice = stage(kept.groupBy("doc_pos").agg(F.count("*").alias("n")).where("n > 1").select("doc_pos"), "repeated-keys")
+    few = F.broadcast(twice) if twice.count() <= SENT_KEYS else twice
+    again = kept.join(few, "doc_pos", "left_semi").groupBy("doc_pos").agg(F.max("content").alias("content"))
+    return kept.join(few, "doc_pos", "left_anti").unionByName(again)
+
+
 def contents(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_pos, content, extra...) with each ``doc_pos`` once; null and blank contents and null keys are left out.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import contents, pairs_within, token_set
+from lodestrand.llm.common import pairs_within, texts, token_set
 from lodestrand.llm.components import components
 from lodestrand.session import spread_join, stage
 
@@ -89,7 +89,7 @@ def _band_rows(bands: int, rows: int):
 
 def token_sets(docs: DataFrame) -> DataFrame:
     """(id, class_key, toks): the sorted set of distinct tokens of every content that has any, and its digest."""
-    toks = contents(docs).select(F.col("doc_pos").alias("id"), F.sort_array(token_set(F.col("content"))).alias("toks"))
+    toks = texts(docs).select(F.col("doc_pos").alias("id"), F.sort_array(token_set(F.col("content"))).alias("toks"))
     return toks.where(F.size("toks") > 0).select("id", F.sha2(F.concat_ws(" ", "toks"), 256).alias("class_key"), "toks")
 
 

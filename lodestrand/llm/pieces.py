@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import contents
+from lodestrand.llm.common import contents, texts
 
 LIMIT, OVERLAP = 1000, 120
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -182,7 +182,7 @@ def split(docs: DataFrame, how: Callable[[str, int, int], list[tuple[int, int]]]
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_pos", "piece_no", "char_start", "char_end"])
 
-    return contents(docs).where(F.length("content") > limit).mapInArrow(cut, PIECE_FIELDS)
+    return texts(docs).where(F.length("content") > limit).mapInArrow(cut, PIECE_FIELDS)
 
 
 def pieces_with_metadata(docs: DataFrame, how=tree_pieces, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
