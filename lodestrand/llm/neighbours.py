@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ K = 5
 SAMPLE = 16_384
 ROWS_PER_CELL = 160
 #: A part is divided into FAN cells at most; a cell of over SPLIT_AT rows is divided again, up to LEVELS times.
-FAN, SPLIT_AT, LEVELS = 1_024, 8_192, 5
+FAN, SPLIT_AT, LEVELS = 1_024, 1_024, 6
 #: Models of a level are sent to all executors if they are so many bytes together, else joined to the rows.
 MODEL_BYTES = 32 << 20
 #: Cells a vector is searched in at the first level, and below in each of them that is divided.
@@ -281,20 +282,20 @@ def index(vectors: DataFrame, probes: int = PROBES, shape: Shape = Shape()) -> t
     logarithm of the rows to the base FAN."""
     rows = vectors.select("space", F.lit(0).cast("long").alias("cell"), "id", "v", F.lit(True).alias("held"))
     sizes = stage(rows.groupBy("space", "cell").agg(F.count("*").alias("rows")), "space-sizes")
-    placed, heads = _divide(rows, sizes, probes, shape)
+    front, heads = _divide(rows, sizes, probes, shape)
+    done = []
     for _ in range(LEVELS - 1):
-        cells = _by_cell(placed)
+        cells = _by_cell(front)
         large = cells.where("held").groupBy("space", "cell").agg(F.count("*").alias("rows")).where(F.col("rows") > shape.split_at)
         large = stage(large, "large-cells")
         if large.isEmpty():
             break
-        cells = stage(cells, "cells-by-row")
-        inner = spread_join(cells, large.select("space", "cell"), ["space", "cell"]).select("space", "cell", "id", "v", "held")
-        below, more = _divide(inner, large, PROBES_BELOW, shape)
-        kept = cells.join(_small(large), ["space", "cell"], "left_anti").select("space", "id", "v", F.array("cell").alias("cells"), "codes", "held")
-        placed = stage(kept.unionByName(below), "placed")
-        heads = stage(heads.join(_small(large), ["space", "cell"], "left_anti").unionByName(more), "heads")
-    return _by_cell(placed), heads
+        few = _small(large)
+        done.append(cells.join(few, ["space", "cell"], "left_anti"))  # read again from what is written
+        inner = cells.join(few.select("space", "cell"), ["space", "cell"]).select("space", "cell", "id", "v", "held")
+        front, more = _divide(inner, large, PROBES_BELOW, shape)
+        heads = stage(heads.join(few, ["space", "cell"], "left_anti").unionByName(more), "heads")
+    return reduce(DataFrame.unionByName, [*done, _by_cell(front)]), heads
 
 
 def scan(q: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
