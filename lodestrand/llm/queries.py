@@ -20,7 +20,9 @@ def p1_term_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = neighbours.store_vectors(table(spark, d, "vector_store")).unionByName(neighbours.cache_vectors(table(spark, d, "embedding_cache")))
-    pairs = neighbours.similar_pairs(stage(neighbours.usable(rows), "vectors"))
+    with neighbours.shuffles_dropped(spark):
+        vectors = stage(neighbours.usable(rows), "vectors")
+    pairs = neighbours.similar_pairs(vectors)
     return pairs.select(F.substring_index("space", "/", 1).alias("origin"), "id_a", "id_b")
 
 

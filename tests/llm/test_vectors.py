@@ -118,3 +118,13 @@ def test_codes_prefer_small_errors_along_the_vector():
         back = np.concatenate([books[p][codes[:, p]] for p in range(8)], axis=1)
         errors.append(np.abs(((x - back) * x).sum(1)).mean())
     assert errors[1] < errors[0]
+
+
+def test_pairs_that_few_cells_are_near_to_both(spark):
+    """A space of loose cells, in which hardly a pair has the nearest cell of both in common."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(3000, 64))
+    x = np.concatenate([a, a + 0.6 * rng.normal(size=a.shape)])
+    want = brute(x)
+    got = pairs(rows(spark, [(i, v.tolist()) for i, v in enumerate(x)]), shape=neighbours.Shape(fill=6, fan=64, split_at=500))
+    assert len(want) > 2000 and len(want & got) / len(want) >= 0.98 and len(got - want) <= 0.02 * len(want)
