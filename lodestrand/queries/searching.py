@@ -72,7 +72,7 @@ def _related(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
 
 @query(f"WITH {_ITEMS}, {_BM25}, pool AS (SELECT * FROM sparse WHERE rank <= {K}), {_REL} SELECT query_id, pos, round(relevance, 6) AS relevance FROM rel")
 def lexical_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return _related(spark, d, _sparse(spark, d, K)).select("query_id", "pos", F.round("relevance", 6).alias("relevance"))
+    return _related(spark, d, _sparse(spark, d, K)).select("query_id", "pos", T.rounded(F.col("relevance")).alias("relevance"))
 
 
 _RERANK = f"re AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY round((1 - 0.35::DOUBLE) * (1 - (rank - 1) / n) + 0.35::DOUBLE * relevance, 9) DESC, rank) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM rel))"

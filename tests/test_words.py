@@ -1,5 +1,6 @@
 """Text functions, on single rows and against golden cases."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,9 @@ def test_hash_embedding_matches_digests(spark):
 def test_manifest(spark):
     row = sinks.manifest(spark.createDataFrame([("p", "x")], "path string, content string")).first()
     assert row["line"].endswith("  p") and len(row["line"]) == 67
+
+
+def test_rounding_of_halves_equals_that_of_sql(spark):
+    values = [0.5146875, -0.5146875, 0.0, *[(i + 0.5) / 1e6 for i in range(2000)]]
+    got = [r["x"] for r in spark.createDataFrame([(x,) for x in values], "x double").select(T.rounded(F.col("x")).alias("x")).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()]
