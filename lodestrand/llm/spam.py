@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,10 @@ FUNCTION_WORDS = {
 }
 #: By language: least share of function words in a unit taken for a sentence, where too little text is at hand to fit it.
 SENTENCE_SHARE = {"en": 0.13, "de": 0.12, "es": 0.15, "fr": 0.13}
-#: The shares are fitted on SAMPLE_PAGES of each language at most: of the pages with half the median page's function words or
-#: more, FIT_PART of the share that all but FIT_TAIL of their units of FIT_WORDS words reach. Fewer than FIT_UNITS units fit nothing.
-#: Shares are counted in FIT_STEPS steps.
-SAMPLE_PAGES, FIT_TAIL, FIT_PART, FIT_WORDS, FIT_UNITS, FIT_STEPS = 4_000, 0.01, 0.8, 8, 500, 1_000
+#: The shares are fitted on all pages labelled with the four languages: of the pages with half the median page's function words
+#: or more, FIT_PART of the share that all but FIT_TAIL of their units of FIT_WORDS words reach. Fewer than FIT_UNITS units fit
+#: nothing. Shares are counted in FIT_STEPS steps, and the median in USUAL_STEPS, so that few values are held.
+FIT_TAIL, FIT_PART, FIT_WORDS, FIT_UNITS, FIT_STEPS, USUAL_STEPS = 0.01, 0.8, 8, 500, 1_000, 10_000
 #: A page with a smaller share of function words of any known language is in none of them, or holds no sentences; which of
 #: the two is told by the form of its lines: sentences that end as such, of FREE_WORDS words or more, FREE_SHORT of which
 #: have up to three letters, and lines of code, which are CODE_SHARE of a program's.
@@ -161,10 +161,16 @@ def long_repeat_share(sentences: list[tuple[str, ...]], others: list[tuple[str,
     return best / n
 
 
-def _units(low: str) -> tuple[list[str], list[tuple[str, list[str]]]]:
-    """The links of a lower-cased text, and its units outside them with their words."""
-    links = _LINK.findall(low) if any(x in low for x in _LINK_SIGNS) else []
-    return links, [(unit, _WORD.findall(unit)) for unit in _UNIT.split(_LINK.sub("\0", low) if links else low)]
+def _units(low: str) -> tuple[list[str], str, list[tuple[str, list[str]]]]:
+    """The links of a lower-cased text, the text with \\0 for each of them, and its units outside them with their words."""
+    links: list[str] = []
+
+    def cut(m: re.Match) -> str:
+        links.append(m[0])
+        return "\0"
+
+    outside = _LINK.sub(cut, low) if any(x in low for x in _LINK_SIGNS) else low
+    return links, outside, [(unit, _WORD.findall(unit)) for unit in _UNIT.split(outside)]
 
 
 def free_running(text: str) -> int:
@@ -190,8 +196,8 @@ def measure(text: str, shares: dict[str, float] = SENTENCE_SHARE) -> Page:
     page most of which reads as sentences by its form, or is code, though it has hardly a function word, is of a language
     that isn't known: that part of it counts as no list."""
     low = text.lower()
-    links, units = _units(low)
-    words = _WORD.findall(low) if links else [w for _, own in units for w in own]
+    links, outside, units = _units(low)
+    words = _WORD.findall(low) if links else list(chain.from_iterable(own for _, own in units))
     page = Page(words=len(words))
     if not words:
         return page
@@ -206,7 +212,7 @@ def measure(text: str, shares: dict[str, float] = SENTENCE_SHARE) -> Page:
     if page.line_repeat_share > LINE_REPEAT_SHARE:
         page.top_line_share = max((c * len(_WORD.findall(x)) for x, c in lines.items() if c >= LEAST_REPEATS), default=0) / len(words)
     total = _solid(low)
-    page.separators = sum(map((_LINK.sub("\0", low) if links else low).count, _SEPARATORS))
+    page.separators = sum(map(outside.count, _SEPARATORS))
     page.separator_density = page.separators / total
     linked = sum(map(_solid, links))
     page.link_share = linked / total
@@ -244,14 +250,13 @@ def _solid(text: str) -> int:
 
 
 def _page_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By page: its language, share of function words, and that of each of its longer units."""
+    """By page whose words and label tell the same language: its share of function words, and that of each longer unit."""
     for b in batches:
         out: list[list] = [[], [], [], []]
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = [w for _, w in _units(text.lower())[1]]
-            counts = Counter(w for ws in own for w in ws)
-            if counts:
-                spoken = language(counts)
+        for i, text, label in zip(*(c.to_pylist() for c in b.columns)):
+            own = [w for _, w in _units(text.lower())[2]]
+            counts = Counter(chain.from_iterable(own))
+            if counts and (spoken := language(counts)) == label:
                 share = lambda ws: sum(map(_WORDS[spoken].__contains__, ws)) / len(ws)
                 every = sum(map(counts.__getitem__, counts.keys() & _WORDS[spoken])) / counts.total()
                 for to, v in zip(out, (i, spoken, every, [share(ws) for ws in own if len(ws) >= FIT_WORDS])):
@@ -260,22 +265,21 @@ def _page_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "language", "share", "units"])
 
 
-def fit_shares(docs: DataFrame, pages: int = SAMPLE_PAGES) -> tuple[dict[str, float], dict[str, float]]:
-    """(shares, errors) by language: the least share of function words of a sentence, fitted on half of a sample of the
-    pages labelled with the language, and the part of the other half's units that falls under it. At most ``pages`` are
-    taken for each label; which language a page is in is told by its words, not by its label. Languages with too little
-    text keep SENTENCE_SHARE and have no error."""
+def _least_share(units: np.ndarray) -> float:
+    """From the number of units at each step of the share of function words: the least share of a sentence."""
+    return int(np.searchsorted(np.cumsum(units), FIT_TAIL * units.sum())) / FIT_STEPS * FIT_PART
+
+
+def fit_shares(docs: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """(shares, errors) by language: the least share of function words of a sentence, fitted on all pages labelled with one
+    of the four languages, and the part of the units that falls under such a share fitted on the other half of the pages.
+    A page counts if its words tell the same language: lists in one language that look like another would lower its tail.
+    Languages with too little text keep SENTENCE_SHARE and have no error."""
     label = F.lower(F.trim("lang")) if "lang" in docs.columns else F.lit("en")
-    rows = docs.where(F.col("doc_id").isNotNull() & ~blank(F.col("text"))).withColumn("label", label).where(F.col("label").isin(*FUNCTION_WORDS))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / F.lit(1 << 20)
-    few = [(F.col("label") == k) & (chance * n < pages) for k, n in counts.items()]
+    rows = docs.where(F.col("doc_id").isNotNull() & ~blank(F.col("text"))).where(label.isin(*FUNCTION_WORDS)).select(F.col("doc_id").cast("long"), "text", label.alias("label"))
     shares, errors = dict(SENTENCE_SHARE), {}
-    if not few:
-        return shares, errors
-    sample = rows.where(reduce(lambda a, b: a | b, few)).select(F.col("doc_id").cast("long"), "text")
-    told = stage(sample.mapInArrow(_page_units, "doc_id long, language string, share double, units array<double>"), "page-units")
-    usual = told.groupBy("language").agg(F.percentile("share", 0.5).alias("usual"))
+    told = stage(rows.mapInArrow(_page_units, "doc_id long, language string, share double, units array<double>"), "page-units")
+    usual = told.groupBy("language").agg(F.percentile(F.floor(F.col("share") * USUAL_STEPS) / USUAL_STEPS, 0.5).alias("usual"))
     running = told.join(F.broadcast(usual), "language").where(F.col("share") >= F.col("usual") / 2)
     unit = running.select("language", (F.pmod("doc_id", F.lit(2)) == 0).alias("fit"), F.explode("units").alias("u"))
     counts = unit.groupBy("language", "fit", F.floor(F.col("u") * FIT_STEPS).cast("int").alias("at")).agg(F.count("*").alias("n")).collect()
@@ -284,17 +288,17 @@ def fit_shares(docs: DataFrame, pages: int = SAMPLE_PAGES) -> tuple[dict[str, fl
         for r in counts:
             if r["language"] == spoken:
                 half[r["fit"]][r["at"]] += r["n"]
-        fit, held = half[True], half[False]
-        if fit.sum() >= FIT_UNITS:
-            tail = int(np.searchsorted(np.cumsum(fit), FIT_TAIL * fit.sum()))
-            shares[spoken] = tail / FIT_STEPS * FIT_PART
-            errors[spoken] = float(held[: int(shares[spoken] * FIT_STEPS)].sum() / max(1, held.sum()))
+        every = half[True] + half[False]
+        if every.sum() >= FIT_UNITS:
+            shares[spoken] = _least_share(every)
+            under = [held[: int(_least_share(fit) * FIT_STEPS)].sum() for fit, held in (half.values(), reversed(half.values()))]
+            errors[spoken] = float(sum(under) / every.sum())
     return shares, errors
 
 
 def scan(docs: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """Every document with its measures and ``spam``. Null and blank texts are no spam and give no row, nor do null ids.
-    ``shares`` by language are fitted on a sample of ``docs`` where they aren't given."""
+    ``shares`` by language are fitted on all of ``docs`` where they aren't given."""
     names = ["words", "list_share", "items", "repeat_share", "top_word_share", "link_share", "line_repeat_share", "separator_density", "function_share"]
     shares = fit_shares(docs)[0] if shares is None else SENTENCE_SHARE | shares
 

@@ -243,6 +243,17 @@ def test_shares_are_fitted_by_language(spark):
     assert spam.fit_shares(spark.createDataFrame([], "doc_id long, text string, lang string"))[0] == spam.SENTENCE_SHARE
 
 
+def test_shares_are_fitted_on_all_pages(spark, monkeypatch):
+    """Hardly over one in a hundred pages, of sentences with few function words, make the tail."""
+    words = lambda i, few: " ".join(("the" if k < few else f"w{i}x{k}") for k in range(20)) + ". "
+    pages = [(i, words(i, 6 if i % 91 == 7 else 10), "en") for i in range(9000)]
+    read, stage = [], spam.stage
+    monkeypatch.setattr(spam, "stage", lambda df, name: read.append(stage(df, name)) or read[-1])
+    shares, errors = spam.fit_shares(spark.createDataFrame(pages, "doc_id long, text string, lang string"))
+    assert shares["en"] == pytest.approx(0.8 * 0.3) and errors["en"] == 0
+    assert read[0].count() == 9000
+
+
 def test_scan_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, PAGES["links"] * 300), (4, PROSE * 1000), (None, PAGES["tags"]), (5, PAGES["tags"])]
     table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as words", "'x' as spam")
