@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +46,18 @@ def pairs(rows: DataFrame, keys: list[str], rank: str = "rank", toks: str = "tok
 
 def duplicate_rate(rows: DataFrame, keys: list[str], threshold: float = vocab.NEAR_DUPLICATE) -> DataFrame:
     """(keys..., duplicate_rate): the share of near-duplicate pairs of each list; a list of one has 0."""
-    rate = pairs(rows, keys).groupBy(*keys).agg(F.avg((F.col("similarity") >= threshold).cast("double")).alias("rate"))
-    return rows.select(*keys).distinct().join(rate, keys, "left").select(*keys, F.coalesce("rate", F.lit(0.0)).alias("duplicate_rate"))
+    gathered = rows.groupBy(*keys).agg(F.collect_list("toks").alias("toks"))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lists in b.column("toks").to_pylist():
+                like = [likeness(x, y) >= threshold for x, y in combinations([frozenset(t) for t in lists], 2)]
+                out.append(sum(like) / len(like) if like else 0.0)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], pa.array(out, pa.float64())], [*keys, "duplicate_rate"])
+
+    kinds = ", ".join(f"`{c}` {gathered.schema[c].dataType.simpleString()}" for c in keys)
+    return gathered.mapInArrow(rate, f"{kinds}, duplicate_rate double")
 
 
 def diverse(pool: DataFrame, keys: list[str], k: Column | int, weight: float = vocab.MMR_LAMBDA) -> DataFrame:
@@ -52,26 +67,43 @@ def diverse(pool: DataFrame, keys: list[str], k: Column | int, weight: float = v
     extra = [c for c in pool.columns if c not in keys]
     limit = F.lit(k) if isinstance(k, int) else k
     gathered = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in extra if c != "rank"]))).alias("pool"), F.max(limit).alias("_k"))
-    base = F.transform("pool", lambda c: c["relevance"] * weight + F.lit(0.10) / c["rank"])
-    start = F.struct(F.array().cast("array<int>").alias("picked"), F.transform("pool", lambda c: F.lit(0.0)).alias("worst"))
-
-    def step(state: Column, base: Column) -> Column:
-        gain = F.transform(
-            F.sequence(F.lit(1), F.size("pool")),
-            lambda i: F.when(F.array_contains(state["picked"], i), F.lit(None).cast("double")).otherwise(
-                F.round(F.element_at(base, i) - F.element_at(state["worst"], i) * (1 - weight), 12)
-            ),
-        )
-        best = T.let(gain, lambda g: F.array_position(g, F.array_max(g)).cast("int"))
-
-        def take(b: Column) -> Column:
-            worst = T.let(F.element_at("pool", b)["toks"], lambda t: F.zip_with(state["worst"], F.col("pool"), lambda w, c: F.greatest(w, T.jaccard(c["toks"], t))))
-            return F.struct(F.concat(state["picked"], F.array(b)).alias("picked"), worst.alias("worst"))
-
-        return T.let(best, take)
-
-    rounds = F.sequence(F.lit(1), F.least(F.col("_k"), F.size("pool")))
-    chosen = T.let(base, lambda b: F.aggregate(rounds, start, lambda s, _: step(s, b), lambda s: s["picked"]))
-    picked = gathered.where(F.col("_k") > 0).withColumn("picked", chosen)
+    gathered = gathered.where(F.col("_k") > 0)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pools = b.column("pool")
+            parts = pools.flatten()
+            ranks, scores, toks = (parts.field(c).to_pylist() for c in ("rank", "relevance", "toks"))
+            ends, limits = pools.value_lengths().to_pylist(), b.column("_k").to_pylist()
+            at, picked = 0, []
+            for n, most in zip(ends, limits, strict=True):
+                own = slice(at, at + n)
+                picked.append([i + 1 for i in spread_out(scores[own], ranks[own], [frozenset(t) for t in toks[own]], most, weight)])
+                at += n
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in [*keys, "pool"]], pa.array(picked, pa.list_(pa.int32()))], [*keys, "pool", "picked"])
+
+    kinds = ", ".join(f"`{c}` {gathered.schema[c].dataType.simpleString()}" for c in [*keys, "pool"])
+    picked = gathered.mapInArrow(choose, f"{kinds}, picked array<int>")
     out = picked.select(*keys, "pool", F.posexplode("picked").alias("n", "i")).withColumn("c", F.element_at("pool", F.col("i")))
     return out.select(*keys, (F.col("n") + 1).alias("pick_no"), *[F.col("c")[c].alias(c) for c in extra])
+
+
+def spread_out(relevance: list[float], ranks: list[int], sets: list[frozenset], k: int, weight: float = vocab.MMR_LAMBDA) -> list[int]:
+    """Places of the members that ``diverse`` takes of one pool, in order."""
+    base = [r * weight + 0.10 / n for r, n in zip(relevance, ranks, strict=True)]
+    worst, left, out = [0.0] * len(base), list(range(len(base))), []
+    while left and len(out) < k:
+        best = min(left, key=lambda i: (-math.floor((base[i] - worst[i] * (1 - weight)) * 1e12 + 0.5), i))
+        out.append(best)
+        left.remove(best)
+        for i in left:
+            worst[i] = max(worst[i], likeness(sets[i], sets[best]))
+    return out
+
+
+def likeness(a: frozenset, b: frozenset) -> float:
+    """Jaccard's of two sets of tokens; 0 if either is empty."""
+    if not a or not b:
+        return 0.0
+    n = len(a & b)
+    return n / (len(a) + len(b) - n)

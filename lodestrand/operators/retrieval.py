@@ -5,23 +5,28 @@ from __future__ import annotations
 from collections import OrderedDict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
 from lodestrand.functions import vocab
-from lodestrand.operators import dense, fusion, sparse
+from lodestrand.operators import dense, fusion, pooling, sparse
 from lodestrand.session import stage
 
-ALL = 1 << 30
 SHOWN = ["unit", "key", "content", "label", "origin", "doc_id", "bad"]
 
 
 def with_keys(units: DataFrame) -> DataFrame:
-    """Adds ``bad`` (suspicious), the ``origin`` where missing, and the ``key`` by which equal texts of one origin meet."""
+    """Adds the tokens as ``words`` between blanks, the ``risk``, ``bad`` (suspicious), the ``origin`` where missing, and the
+    ``key`` by which equal texts of one origin meet."""
     if "origin" not in units.columns:
         units = units.withColumn("origin", F.col("label"))
-    return units.withColumn("bad", T.suspicious(F.col("content"))).withColumn("key", fusion.document_key(F.col("content"), F.col("origin")))
+    units = units.withColumn("words", words(F.col("content"))).withColumn("risk", T.risk(F.col("content")))
+    return units.withColumn("bad", F.col("risk") > 0).withColumn("key", fusion.document_key(F.col("content"), F.col("origin")))
+
+
+def words(c: Column) -> Column:
+    return F.array_join(T.tokens(F.coalesce(c, F.lit(""))), " ")
 
 
 @dataclass
@@ -57,6 +62,14 @@ class Index:
         both = near.unionByName(found.withColumn("kind", F.lit(1))).join(pools, keys)
         return both.where(F.col("rank") <= F.col("pool")).select(*keys, "kind", "unit", "rank")
 
+    def rows(self, asked: DataFrame) -> DataFrame:
+        """Rows of ``pooling`` that tell of the variants, what their lists name, and the lists."""
+        lists = stage(self.lists(asked), "lists")
+        named = lists.select("query_id", "unit").distinct().join(self.units.select("unit", "key", "words", "risk"), "unit")
+        rows = pooling.told(asked.withColumn("words", words(F.col("variant"))), pooling.VARIANT, variant_no="variant_no", n="pool", words="words")
+        rows = rows.unionByName(pooling.told(named, pooling.UNIT, unit="unit", key="key", words="words", risk="risk"))
+        return rows.unionByName(pooling.told(lists, pooling.PLACE, variant_no="variant_no", kind="kind", unit="unit", n="rank"))
+
     def shown(self, picks: DataFrame) -> DataFrame:
         return picks.join(self.units.select(*SHOWN), "unit")
 
@@ -67,38 +80,25 @@ class OwnUnits:
     A query's units are as few as the chunks of the parents it selected."""
 
     units: DataFrame
-    posts: DataFrame
     vectors: DataFrame
     embed: dense.Embedder = dense.hash_embedding
 
     @staticmethod
     def build(units: DataFrame, embed: dense.Embedder = dense.hash_embedding) -> OwnUnits:
         units = stage(with_keys(units), "own-units")
-        toks = units.select("query_id", "unit", T.tokens(F.col("content")).alias("toks"))
-        terms = toks.select("query_id", "unit", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
-        posts = stage(terms.groupBy("query_id", "unit", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "own-postings")
-        return OwnUnits(units, posts, stage(embed(units, ["query_id", "unit"], "content"), "own-vectors"), embed)
+        return OwnUnits(units, stage(embed(units, ["query_id", "unit"], "content"), "own-vectors"), embed)
 
     def sized(self, queries: DataFrame) -> DataFrame:
         """A query without a unit isn't searched and has no row."""
         return queries.join(self.units.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
 
-    def lists(self, asked: DataFrame) -> DataFrame:
+    def rows(self, asked: DataFrame) -> DataFrame:
+        """Rows of ``pooling`` that tell of the variants and of the units of their queries."""
         keys = ["query_id", "variant_no"]
-        pools = asked.select(*keys, "pool")
-        qv = self.embed(asked, keys, "variant").withColumnRenamed("vec", "qv").where(dense.nonzero(F.col("qv")))
-        near = qv.join(self.vectors, "query_id").select(*keys, "unit", dense.dot(F.col("qv"), F.col("vec")).alias("score"))
-        near = sparse.top_k(near, ALL, keys, "unit").withColumn("kind", F.lit(0))
-        df = self.posts.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-        sizes = self.units.groupBy("query_id").agg(F.count("*").cast("double").alias("n"))
-        totals = self.posts.groupBy("query_id").agg(F.sum("tf").alias("t"))
-        stats = sizes.join(totals, "query_id").select("query_id", "n", (F.col("t") / F.col("n")).alias("avg_len"))
-        weighed = self.posts.join(df, ["query_id", "term"]).join(stats, "query_id").select("query_id", "term", "unit", sparse.bm25(F.col("n"), F.col("avg_len")).alias("weight"))
-        terms = sparse.query_terms(asked.select(*keys, F.col("variant").alias("query")), keys)
-        sums = terms.join(weighed, ["query_id", "term"]).groupBy(*keys, "unit").agg(F.sum(F.col("q_tf") * F.col("weight")).alias("score"))
-        found = sparse.top_k(sums.where("score > 0"), ALL, keys, "unit").withColumn("kind", F.lit(1))
-        both = near.unionByName(found).join(pools, keys)
-        return both.where(F.col("rank") <= F.col("pool")).select(*keys, "kind", "unit", "rank")
+        variants = asked.withColumn("words", words(F.col("variant"))).join(self.embed(asked, keys, "variant"), keys)
+        rows = pooling.told(variants, pooling.VARIANT, variant_no="variant_no", n="pool", words="words", vec="vec")
+        units = self.units.join(asked.select("query_id").distinct(), "query_id", "left_semi").join(self.vectors, ["query_id", "unit"])
+        return rows.unionByName(pooling.told(units, pooling.UNIT, unit="unit", key="key", words="words", risk="risk", vec="vec"))
 
     def shown(self, picks: DataFrame) -> DataFrame:
         return picks.join(self.units.select("query_id", *SHOWN), ["query_id", "unit"])
@@ -118,45 +118,37 @@ def prepared(key: tuple, build, most: int = vocab.INDEX_CACHE) -> Index:
     return _prepared[key]
 
 
-def relevance(rows: DataFrame, query: str = "query") -> DataFrame:
-    """Adds ``relevance`` to the query to rows with ``toks`` and ``risk``."""
-    return rows.withColumn("relevance", T.let(T.tokens(F.col(query)), lambda q: T.relevance(q, F.col("toks"), F.col("risk"))))
-
-
 def with_relevance(rows: DataFrame) -> DataFrame:
     """Adds ``toks`` of the content and ``relevance`` to the query."""
-    return relevance(rows.withColumn("toks", T.tokens(F.col("content"))).withColumn("risk", T.risk(F.col("content")))).drop("risk")
+    rows = rows.withColumn("toks", T.tokens(F.col("content"))).withColumn("risk", T.risk(F.col("content")))
+    return rows.withColumn("relevance", T.let(T.tokens(F.col("query")), lambda q: T.relevance(q, F.col("toks"), F.col("risk")))).drop("risk")
 
 
 def candidates(asked: DataFrame, corpus: Index | OwnUnits) -> DataFrame:
-    """The pool of every query: (query_id, rank, score, toks, risk and the units' columns), the lists of its variants
-    fused by content and origin and cut at its ``pool``. ``asked`` has (query_id, variant_no, variant, pool).
-
-    What the lists name is fetched from the units once; the dense lists are reranked by words before they are fused."""
-    lists = stage(corpus.lists(asked), "lists")
-    found = corpus.shown(lists.select("query_id", "unit").distinct())
-    found = stage(found.withColumn("toks", T.tokens(F.col("content"))).withColumn("risk", T.risk(F.col("content"))), "found")
-    keys = ["query_id", "variant_no"]
-    near = lists.where("kind = 0").join(found.select("query_id", "unit", "toks", "risk"), ["query_id", "unit"])
-    near = relevance(near.join(asked.select(*keys, "variant"), keys), "variant")
-    near = dense.rerank(near, keys, "unit").select(*keys, "kind", "unit", "rank")
-    both = near.unionByName(lists.where("kind = 1").select(*keys, "kind", "unit", "rank"))
-    both = both.join(found.select("query_id", "unit", "key"), ["query_id", "unit"])
-    both = both.select("query_id", (F.col("variant_no") * 2 + F.col("kind")).alias("list_no"), "key", "unit", "rank")
-    fused = fusion.reciprocal_rank(both, ["query_id"], ["key"], carry=["unit"]).drop("key")
-    pools = asked.groupBy("query_id").agg(F.max("pool").alias("pool"))
-    return fused.join(pools, "query_id").where(F.col("rank") <= F.col("pool")).drop("pool").join(found, ["query_id", "unit"])
+    """The pool of every query: (query_id, rank, score and the units' columns), the lists of its variants fused by content
+    and origin and cut at its ``pool``. ``asked`` has (query_id, variant_no, variant, pool).
+
+    The dense lists are reranked by words before they are fused. What the lists name, its tokens and its risk are brought
+    to the query once, and the query is worked off in one place."""
+    pool = pooling.by_query(corpus.rows(asked), pooling.pooled, ("rank", "score"), isinstance(corpus, OwnUnits))
+    return corpus.shown(pool)
+
+
+def picked(queries: DataFrame, asked: DataFrame, corpus: Index | OwnUnits) -> DataFrame:
+    """(query_id, pick_no, relevance and the units' columns): the ``k`` diverse ones of the ``candidates`` of each query.
+    ``queries`` has (query_id, query, k)."""
+    query = pooling.told(queries.withColumn("words", words(F.col("query"))), pooling.QUERY, n="k", words="words")
+    rows = query.join(asked.select("query_id").distinct(), "query_id", "left_semi").unionByName(corpus.rows(asked))
+    return corpus.shown(pooling.by_query(rows, pooling.diverse, ("pick_no", "relevance"), isinstance(corpus, OwnUnits)))
 
 
 def hybrid(queries: DataFrame, variants: DataFrame, corpus: Index | OwnUnits, k: str = "k") -> DataFrame:
-    """(query_id, pick_no, relevance and the units' columns): the ``k`` diverse units of each query. ``queries`` has
+    """``picked`` with a pool of 2 ``k``, of all units where these are fewer, and of ``k`` at least. ``queries`` has
     (query_id, query, k), ``variants`` (query_id, variant_no, variant)."""
     sized = corpus.sized(queries.select("query_id", "query", F.col(k).alias("k")))
     pool = F.greatest(F.col("k"), F.least(F.col("k") * 2, F.col("n")))
     asked = stage(variants.join(sized.select("query_id", pool.cast("int").alias("pool")), "query_id"), "asked")
-    rows = relevance(candidates(asked, corpus).join(queries.select("query_id", "query", F.col(k).alias("k")), "query_id"))
-    rows = rows.select("query_id", "k", "rank", "relevance", "toks", *SHOWN)
-    return fusion.diverse(rows, ["query_id"], F.col("k")).drop("k", "toks", "rank")
+    return picked(queries.select("query_id", "query", F.col(k).alias("k")), asked, corpus)
 
 
 def safe_with_backfill(queries: DataFrame, variants: DataFrame, corpus: Index | OwnUnits, k: str = "k") -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from lodestrand.functions import text as T
 from lodestrand.functions import vocab as V
 from lodestrand.operators import chunking, context, dense, fusion, grounding, retrieval
 from lodestrand.plans import routing
-from lodestrand.session import stage
+from lodestrand.session import parts, stage
 
 #: From rows (keys..., query, context, prompt) to (keys..., answer) and, where the provider reports counts, ``usage``,
 #: a map<string,double>.
@@ -45,9 +45,7 @@ def baseline_search(queries: DataFrame, index: retrieval.Index, k: int = V.TOP_K
     """(documents, counts): 2k dense and 2k sparse chunks, fused to 2k, k diverse ones of them, suspicious ones left out
     without backfill; and how many those were (query_id, quarantined)."""
     one = queries.select("query_id", F.lit(0).alias("variant_no"), F.col("query").alias("variant"), F.lit(2 * k).alias("pool"))
-    rows = retrieval.relevance(retrieval.candidates(one, index).join(queries.select("query_id", "query"), "query_id"))
-    rows = rows.select("query_id", "rank", "relevance", "toks", *retrieval.SHOWN)
-    picked = stage(fusion.diverse(rows, ["query_id"], k), "picked")
+    picked = stage(retrieval.picked(queries.select("query_id", "query", F.lit(k).alias("k")), one, index), "picked")
     return _picked(picked.where(~F.col("bad"))), picked.groupBy("query_id").agg(F.count_if("bad").alias("quarantined"))
 
 
@@ -186,6 +184,7 @@ def answered(queries: DataFrame, documents: DataFrame, quality: DataFrame, gener
     ctx = context.compressed_context(ranked, ["query_id"])
     rows = queries.select("query_id", "query").join(ctx, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(V.NO_CONTEXT)))
     rows = stage(rows.withColumn("prompt", grounding.prompt(V.QA_PROMPT, F.col("query"), F.col("context"))), "contexts")
+    rows = rows.repartition(parts(rows.sparkSession), "query_id")
     rows = generated(rows, generate).join(quality.withColumnRenamed("status", "quality"), "query_id", "left")
     known = F.when(F.col("context") == V.NO_CONTEXT, F.array().cast("array<string>")).otherwise(F.array("context"))
     rows = rows.withColumn("report", grounding.support(F.col("answer"), known))
